@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, packing, quality, shards, tokens, urls
+from quillgraph.llm import decontaminate, packing, quality, repeats, shards, tokens, urls
 from quillgraph.llm.common import materialize, new_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(spark, path, partial(materialize, name="token-index"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=False).withColumnRenamed("id", "doc_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shards.ShardStore(spark, new_path(spark, "shards"))
     store.append(table(spark, sf_dir, "documents"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_orc": op4_token_orc,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
