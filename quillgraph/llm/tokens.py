@@ -4,6 +4,7 @@ on the document id, so that readers take stripes in parallel and skip those that
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -45,28 +46,25 @@ _SIMPLE = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:
 
 
 class Recent(dict):
-    """A cache of two generations: at `most` entries the newer becomes the older, and what is asked for
-    again moves back."""
+    """A cache of two generations, filled by make() as keys are asked for. turn() makes the newer one the
+    older at `most` entries; what is asked for again moves back."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, make: Callable[[str], bytes | None]):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.make, self.old = most, make, {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        self[key] = value
+        return value
 
     def turn(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
-    def unknown(self, keys) -> list:
-        missing = [k for k in keys if k not in self]
-        old, new = self.old, []
-        for k in missing:
-            if k in old:
-                self[k] = old[k]
-            else:
-                new.append(k)
-        return new
-
 
 class Encoder:
     """Ids of whole texts, special tokens' strings being ordinary text, as little-endian 32-bit integers.
@@ -75,66 +73,66 @@ class Encoder:
     Texts with other white space than single spaces and line feeds are cut at the spaces that are safe.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 200_000):
+    def __init__(self, tokenizer_path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = np.array([self.feed], "<i4").tobytes()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.line = self._any("\n")
         # The byte-level form of the letters of simple words.
         form = ByteLevel(add_prefix_space=False, use_regex=False)
         self.form = {c: form.pre_tokenize_str(chr(c))[0][0] for c in [0x20, *range(0x41, 0x250)] if chr(c).isalpha() or c == 0x20}
-        #: By word: the ids at the start of a line and after a space; None where its ends aren't safe.
-        self.first: Recent = Recent(most)
-        self.later: Recent = Recent(most)
-        self.stems: Recent = Recent(most)
-        self.other: Recent = Recent(most // 8)
-
-    def _many(self, strings: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def _learn(self, known: Recent, words: set[str], before: str) -> None:
-        new = known.unknown(words)
-        known.update(dict.fromkeys(new))
-        rest, stems, simple = [], self.stems, []
-        for w in new:
-            if m := _SIMPLE.fullmatch(w):
-                simple.append((w, before + m[1], m[2]))
-            elif w and not _ODD.search(w):
-                rest.append(w)
-        for s in stems.unknown({x[1] for x in simple}):
-            stems[s] = array("i", [x.id for x in self.model.tokenize(s.translate(self.form))]).tobytes()
-        marks = {"": b""}
-        ends = list({x[2] for x in simple if x[2]})
-        marks.update(zip(ends, self._many(ends)))
-        for w, s, e in simple:
-            known[w] = stems[s] + marks[e]
-        known.update(zip(rest, self._many([before + w for w in rest])))
-
-    def _other(self, text: str) -> bytes:
-        pieces = _CUT.split(text)
-        new = self.other.unknown(dict.fromkeys(pieces))
-        self.other.update(zip(new, self._many(new)))
-        return b"".join(map(self.other.__getitem__, pieces))
+        self.space = self.form[0x20]
+        self.marks = {"": b""}
+        #: By word: the ids after a space and at the start of a line; None where its ends aren't safe.
+        self.later = Recent(most, lambda w: self._word(w, " "))
+        self.first = Recent(most // 4, lambda w: self._word(w, ""))
+        self.stems = Recent(most, self._stem)
+        self.other = Recent(most // 16, self._any)
+
+    def _any(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _stem(self, s: str) -> bytes:
+        return array("i", [x.id for x in self.tokenize(s)]).tobytes()
+
+    def _word(self, w: str, before: str) -> bytes | None:
+        if m := _SIMPLE.fullmatch(w):
+            stem, mark = m.groups()
+            if not stem.isascii():
+                stem = stem.translate(self.form)
+            if before:
+                stem = self.space + stem
+            if mark not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[mark] = self._any(mark)
+            return self.stems[stem] + self.marks[mark]
+        return self._any(before + w) if w and not _ODD.search(w) else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For texts of a few MB together."""
         for kept in (self.first, self.later, self.stems, self.other):
             kept.turn()
-        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
-        self._learn(self.first, {x[0] for t in lines for x in t}, "")
-        self._learn(self.later, set().union(*(x[1:] for t in lines for x in t)), " ")
-        first, later = self.first.__getitem__, self.later.__getitem__
+        collecting = gc.isenabled()
+        gc.disable()  # the lists of words below make no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        first, later, other = self.first.__getitem__, self.later.__getitem__, self.other.__getitem__
         out = []
-        for text, split in zip(texts, lines):
+        for text in texts:
             try:
-                out.append(self.line.join([first(x[0]) + b"".join(map(later, x[1:])) for x in split]))
+                out.append(self.line.join([first(x[0]) + b"".join(map(later, x[1:])) for x in (line.split(" ") for line in text.split("\n"))]))
             except TypeError:  # a word whose ends aren't safe
-                out.append(self._other(text))
+                out.append(b"".join(map(other, _CUT.split(text))))
         return out
 
 
