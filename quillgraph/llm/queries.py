@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, jaccard, packing, quality, repeats, shards, tokens, urls
+from quillgraph.llm import decontaminate, jaccard, mixing, packing, quality, repeats, shards, tokens, urls
 from quillgraph.llm.common import materialize, new_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_token_orc": op4_token_orc,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
+    "op7_context_mixing": op7_context_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
