@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, jaccard, mixing, packing, quality, repeats, shards, tokens, urls
+from quillgraph.llm import decontaminate, extract, jaccard, mixing, packing, quality, repeats, shards, tokens, urls
 from quillgraph.llm.common import materialize, new_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(tokens.token_lengths(table(spark, sf_dir, "documents"), TOKENIZER), "lengths")
     return packing.pack(sized, F.col("n_tokens"))
@@ -59,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_orc": op4_token_orc,
