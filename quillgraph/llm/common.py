@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,25 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="quillgraph-code-")) / "quillgraph.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +64,9 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(path)
+    # What was shuffled for it is no longer needed; Spark deletes it when the driver's collector finds it unused.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,3 +86,15 @@ def words(text: Column) -> Column:
     """The maximal runs of characters other than the six ASCII spaces; none for null."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """Rows of the highest counts n, all that have one or none of those: at most `limit`, none if even the highest
+    has more. The threshold comes from the histogram of counts, so nothing is sorted or gathered in one task."""
+    histogram = sorted(((r[0], r[1]) for r in counts.groupBy(F.least(F.col(n), F.lit(100_000))).count().collect()), reverse=True)
+    least, total = None, 0
+    for value, rows in histogram:
+        if total + rows > limit:
+            break
+        least, total = value, total + rows
+    return counts.filter(F.col(n) >= least) if least is not None else counts.limit(0)

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, most_frequent
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.kernels import NOT_SPACE, blocks, concat_ranges, mix
 
@@ -34,9 +35,9 @@ class Similarity:
     #: Expected partners of a prefix from which it is lengthened by one, two ... shingles.
     lengthen: tuple[int, ...] = (64, 1024)
     #: A shingle is counted where a batch of documents has it so often. Counts only order shingles.
-    often: int = 6
+    often: int = 2
     #: So many of the most frequent shingles are told to all tasks (16 bytes each).
-    told: int = 1 << 19
+    told: int = 1 << 20
     #: Star rounds before all pairs between components are verified, if those are still many: more than
     #: `many` for each prefix entry.
     stars: int = 4
@@ -185,23 +186,39 @@ def _held(batches) -> list[np.ndarray] | None:
     return [t[c].to_numpy() for c in t.column_names]
 
 
-def _possible(n, ell, pos, i, j, rule: Similarity) -> np.ndarray:
-    """Length and position: whether entries i and j of one shingle can be of similar sets."""
+def _possible(n, ell, pos, i, j, rule: Similarity, rank=None) -> np.ndarray:
+    """Length and position: whether entries i and j of one shingle can be of similar sets. What both share up to
+    this shingle is at most the smaller place; among the prefix shingles that other documents have at all (rank),
+    if that is known. What they share after it is at most the smaller rest."""
     a, b = n[i].astype(np.int64), n[j].astype(np.int64)
     least = -((-rule.percent * (a + b)) // (100 + rule.percent))
-    bound = np.minimum(pos[i], pos[j]) + 1 + np.minimum(a - pos[i], b - pos[j]) - 1
+    place = pos + 1 if rank is None else rank
+    bound = np.minimum(place[i], place[j]) + np.minimum(a - pos[i], b - pos[j]) - 1
     return (np.minimum(a, b) * 100 >= np.maximum(a, b) * rule.percent) & (bound >= least)
 
 
-_PAIRS = "a long, b long, ell int"
+_PAIRS = "a long, b long, least int"
 
 
-def _pair_rows(doc, ell, i, j) -> pa.RecordBatch:
+def _pair_rows(doc, n, ell, i, j, rule: Similarity, met=None) -> pa.RecordBatch:
+    """Pairs with the fewest shingles that their prefixes must share: as many as the smaller l; and what both
+    share beyond the prefix that ends first is at most the rest of its set, so the prefixes must share what
+    then is missing to a sufficient overlap.
+
+    met: how many of its prefix shingles each entry's document shares with any other; a pair of which one has
+    fewer than needed is left out."""
     a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(ell[i], ell[j]).astype(np.int32))], ["a", "b", "ell"])
+    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+    overlap = -((-rule.percent * (x + y)) // (100 + rule.percent))
+    rest = np.maximum(rule.need(x) - ell[i], rule.need(y) - ell[j])
+    least = np.maximum(np.minimum(ell[i], ell[j]), overlap - rest)
+    if met is not None:
+        can = np.minimum(met[i], met[j]) >= least
+        a, b, least = a[can], b[can], least[can]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least.astype(np.int32))], ["a", "b", "least"])
 
 
-def _star(token, doc, n, ell, pos, component, seed: int, rule: Similarity):
+def _star(token, doc, n, ell, pos, component, seed: int, rule: Similarity, rank=None):
     """Each entry with the first of its shingle: by id in round 0, by a hash of id and round later."""
     score = doc if seed == 0 else mix(doc.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     order = np.lexsort((score, token))
@@ -211,7 +228,7 @@ def _star(token, doc, n, ell, pos, component, seed: int, rule: Similarity):
     pivot = order[np.repeat(begin, size)]
     use = (component[pivot] != component[order]) & (pivot != order)
     i, j = pivot[use], order[use]
-    ok = _possible(n, ell, pos, i, j, rule)
+    ok = _possible(n, ell, pos, i, j, rule, rank)
     return i[ok], j[ok]
 
 
@@ -239,7 +256,7 @@ def _shared(rule: Similarity):
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), pa.array(token), pa.array(doc), pa.array(n), pa.array(ell), pa.array(pos)], ["kind", "a", "b", "n", "ell", "pos"])
         i, j = _star(token, doc, n, ell, pos, doc, 0, rule)
         if len(i):
-            p = _pair_rows(doc, ell, i, j)
+            p = _pair_rows(doc, n, ell, i, j, rule)
             zero = pa.array(np.zeros(p.num_rows, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(p.num_rows, np.int8)), p.column(0), p.column(1), zero, p.column(2), zero], ["kind", "a", "b", "n", "ell", "pos"])
 
@@ -253,9 +270,9 @@ def _across(rule: Similarity, seed: int | None):
         got = _held(batches)
         if got is None:
             return
-        token, doc, n, ell, pos, component = got
+        token, doc, n, ell, pos, component, rank, met = got
         order = np.lexsort((component, token))
-        token, doc, n, ell, pos, component = (x[order] for x in (token, doc, n, ell, pos, component))
+        token, doc, n, ell, pos, component, rank, met = (x[order] for x in (token, doc, n, ell, pos, component, rank, met))
         new = np.concatenate([[True], token[1:] != token[:-1]])
         part = np.flatnonzero(new | np.concatenate([[True], component[1:] != component[:-1]]))
         part_size = np.diff(np.append(part, len(token)))
@@ -264,10 +281,10 @@ def _across(rule: Similarity, seed: int | None):
         if not several.any():
             return
         if seed is not None:
-            token, doc, n, ell, pos, component = (x[several] for x in (token, doc, n, ell, pos, component))
-            i, j = _star(token, doc, n, ell, pos, component, seed, rule)
+            token, doc, n, ell, pos, component, rank, met = (x[several] for x in (token, doc, n, ell, pos, component, rank, met))
+            i, j = _star(token, doc, n, ell, pos, component, seed, rule, rank)
             if len(i):
-                yield _pair_rows(doc, ell, i, j)
+                yield _pair_rows(doc, n, ell, i, j, rule, met)
             return
         # The largest component of a shingle goes last and starts no pairs, so that its own are never listed.
         largest = np.zeros(group[-1] + 1, np.int64)
@@ -279,7 +296,7 @@ def _across(rule: Similarity, seed: int | None):
         last = np.repeat(only, part_size)
         order = np.lexsort((last, group))
         order = order[several[order]]
-        doc, n, ell, pos, component, group, last = (x[order] for x in (doc, n, ell, pos, component, group, last))
+        doc, n, ell, pos, component, rank, met, group, last = (x[order] for x in (doc, n, ell, pos, component, rank, met, group, last))
         end = np.searchsorted(group, group, "right")
         count = np.where(last, 0, end - np.arange(len(group)) - 1)
         edges = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1_000_000, 1_000_000), "right")
@@ -290,9 +307,9 @@ def _across(rule: Similarity, seed: int | None):
                 i = np.repeat(np.arange(c, d), count[c:d])
                 use = component[i] != component[j]
                 i, j = i[use], j[use]
-                ok = _possible(n, ell, pos, i, j, rule)
+                ok = _possible(n, ell, pos, i, j, rule, rank)
                 if ok.any():
-                    yield _pair_rows(doc, ell, i[ok], j[ok])
+                    yield _pair_rows(doc, n, ell, i[ok], j[ok], rule, met)
 
     return run
 
@@ -332,9 +349,9 @@ def _verify(rule: Similarity):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs (a, b, ell a row for each shared prefix shingle) that share enough of them and are similar.
+    """The pairs (a, b, least: a row for each shared prefix shingle) that share enough of them and are similar.
     The partners of a travel to its text, at most `fan` to a task, so a with thousands is spread."""
-    enough = materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("ell").alias("ell")).filter("shared >= ell").select("a", "b"), "pairs")
+    enough = materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least")).filter("shared >= least").select("a", "b"), "pairs")
     fans = enough.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / rule.fan).cast("int").alias("tasks"))
     salted = enough.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b")
     partners = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
@@ -346,10 +363,11 @@ def _links(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
 def _frequent(profile: DataFrame, rule: Similarity):
     """The most frequent shingles, ascending, and their counts: at most `told` of them, to be broadcast.
     Which ones these are changes the order of shingles, so the work, not the result."""
-    rows = profile.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(rule.told).toPandas()
-    key = rows["doc_id"].to_numpy(np.int64).view(np.uint64)
+    counts = materialize(profile.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")), "frequent")
+    rows = most_frequent(counts, "n", rule.told).toArrow()
+    key = rows["doc_id"].to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return key[order], rows["n"].to_numpy(np.int64)[order]
+    return key[order], rows["n"].to_numpy()[order]
 
 
 def similar_components(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,12 +391,14 @@ def similar_components(docs: DataFrame, rule: Similarity = Similarity(), id_col:
     prefix = shared.filter("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("doc_id"), "n", "ell", "pos")
     texts = materialize(thin.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
-    links = materialize(_links(shared.filter("kind = 1").select("a", "b", "ell"), texts, rule).unionByName(copies), "links")
+    links = materialize(_links(shared.filter("kind = 1").select("a", "b", F.col("ell").alias("least")), texts, rule).unionByName(copies), "links")
     entries_n = prefix.count()
+    own = Window.partitionBy("doc_id")  # a document's prefix
+    ranked = prefix.withColumn("rank", F.row_number().over(own.orderBy("pos"))).withColumn("met", F.count(F.lit(1)).over(own).cast("int"))
     for seed in range(1, rule.stars + 2):
         found = materialize(connected_components(links, "a", "b"), "components")
         placed = materialize(
-            prefix.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "ell", "pos", F.coalesce("component", "doc_id").alias("component")), "placed"
+            ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "ell", "pos", F.coalesce("component", "doc_id").alias("component"), "rank", "met"), "placed"
         )
         parts = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
         across = parts.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).agg(F.sum(F.col("s") * F.col("s") - F.col("q"))).first()[0] or 0
