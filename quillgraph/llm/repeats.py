@@ -312,11 +312,11 @@ def repeated_windows(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
 
 
 def with_order(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """_row (a struct of all columns), id, text and seq: a different long in each row, ascending with the id.
+    """_row (a struct of all columns but the text), id, text and seq: a different long in each row, ascending with the id.
     Where ids are unique and not null, seq is the id. Else rows are ordered by (id, hash of the text), a null
     id first, equal rows in any order, and numbered: ranges of ids are sorted, and each range starts with
     the count of the earlier ones."""
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = d.groupBy("id").count().agg(F.max("count"), F.count_if(F.col("id").isNull())).first()
     if (ids[0] or 1) == 1 and not ids[1]:
         return d.withColumn("seq", F.col("id"))
@@ -356,7 +356,7 @@ def _apply(length: int, keep: bool):
 
 def remove_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256; if keep, also kept (binary: the remaining bytes, which
-    need not be valid UTF-8, as a span may begin or end within a character) and _row, the input row.
+    need not be valid UTF-8, as a span may begin or end within a character) and _row, the input row but its text.
 
     Null and empty texts have no bytes. Rows with equal ids are different documents, ordered by a hash of
     their text; an equal row after the first loses all its repeated strings. An empty table gives no rows.
