@@ -49,8 +49,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     character's other bytes; a document of which nothing is left goes. n_chars is counted anew."""
     ship(spark)
     found = repeats.remove_repeats(docs)
-    # Bytes that are no character any more: the ends of cut characters.
-    text = F.when(F.col("n_removed") == 0, F.col("_row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    # Of a cut text, bytes that are no character any more go: the ends of cut characters.
+    whole = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
     rows = found.select(*[F.col(f"_row.{c}").alias(c) for c in COLUMNS if c not in ("text", "n_chars")], text.alias("text"), "n_removed", F.col("_row.n_chars").alias("_n"))
     kept = rows.filter((F.col("n_removed") == 0) | (F.trim(F.col("text"), F.lit(" \t\n\r")) != ""))
     return _columns(kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("_n")).otherwise(F.length("text").cast("long"))))
