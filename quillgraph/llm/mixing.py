@@ -19,6 +19,7 @@ tokens that do not fit the broadcast head are joined by a shuffle.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, most_frequent
 from quillgraph.llm.kernels import NOT_SPACE, Words, blocks, concat_ranges, mix
 
-CONTEXTS = 4
+CONTEXTS = 3
 #: Symbols so frequent that the last one seen tells the language.
 ANCHORS = 64
 GATES = 32
@@ -45,7 +46,7 @@ class Mixing:
     #: Slots of each context's table, as a power of two. Three tables of two 4-byte counts.
     slot_bits: int = 20
     #: Tokens whose counts are broadcast, at most (20 bytes each); the others' are joined.
-    head: int = 1 << 20
+    head: int = 1 << 19
     rate: float = 0.25
     prior: float = 0.4
     #: Slots in a row of the tables' shuffle.
@@ -74,18 +75,18 @@ class Code:
             parent[x] = parent[y] = made
             side[y] = 1
             heapq.heappush(heap, (a + b, made))
-        nodes, bits, length = [], [], []
+        nodes, bits, length = array("i"), array("b"), []
         root = 2 * n - 2
         for i in range(n):
             path = []
             while i != root:
                 path.append((root - parent[i], side[i]))
                 i = parent[i]
-            nodes += [x for x, _ in reversed(path)]
-            bits += [x for _, x in reversed(path)]
+            nodes.extend(x for x, _ in reversed(path))
+            bits.extend(x for _, x in reversed(path))
             length.append(len(path))
         size = np.array(length, np.int64)
-        return Code(np.cumsum(size) - size, size, np.array(nodes, np.int64), np.array(bits, bool))
+        return Code(np.cumsum(size) - size, size, np.array(nodes, np.int64), np.array(bits, np.int8).astype(bool))
 
 
 @dataclass
@@ -161,7 +162,7 @@ def _decisions(w: Words, place: np.ndarray, model: Model, bits: int) -> list[Dec
     entry = concat_ranges(code.first[all_symbols], size)
     node = code.node[entry]
     depth = entry - code.first[all_symbols][own]
-    contexts = [np.full(len(all_symbols), 11, np.uint64), _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2), _hash(previous, 3)]
+    contexts = [np.full(len(all_symbols), 11, np.uint64), _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2)]
     words = Decisions(doc[own], code.bit[entry], np.minimum(depth, GATES - 1), [_slots(c, own, node, bits) for c in contexts])
     # Letters of rare words, each with a stop.
     length = w.end[rare] - w.start[rare]
@@ -179,7 +180,7 @@ def _decisions(w: Words, place: np.ndarray, model: Model, bits: int) -> list[Dec
     own = np.repeat(np.arange(len(letter)), size)
     entry = concat_ranges(code.first[letter], size)
     node = code.node[entry]
-    contexts = [_hash(orders[0], anchor[rare][letter_word], 4), _hash(orders[1], np.minimum(position, 15), 5), _hash(orders[2], 6), _hash(orders[4], 7)]
+    contexts = [_hash(orders[1], anchor[rare][letter_word], 4), _hash(orders[1], np.minimum(position, 15), 5), _hash(orders[3], 7)]
     letters = Decisions(w.document()[rare][letter_word][own], code.bit[entry], np.minimum(position, GATES - 1)[own], [_slots(c, own, node, bits) for c in contexts])
     return [words, letters]
 
@@ -298,19 +299,27 @@ def _learn(model, rule: Mixing):
     return run
 
 
-def _add(batches) -> Iterator[pa.RecordBatch]:
-    """Sums of equal (part, row); a task has few of them, however many it reads."""
-    total: dict[tuple[int, int], list[np.ndarray]] = {}
-    for batch in batches:
-        for part, row, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            kind = "<f8" if part >= CONTEXTS else "<i4"
-            have = total.get((part, row))
-            x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
-            total[part, row] = [x.astype("<f8" if part >= CONTEXTS else "<i8"), y.astype("<f8" if part >= CONTEXTS else "<i8")] if have is None else [have[0] + x, have[1] + y]
-    if total:
-        keys = list(total)
-        out = lambda i: pa.array([total[k][i].tobytes() for k in keys], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), out(0), out(1)], ["part", "row", "zeros", "ones"])
+def _add(prior: float):
+    """Sums of equal (part, row); a task has few of them, however many it reads. Of the tables what goes on is
+    the log odds, an eighth of the counts' bytes."""
+
+    def run(batches):
+        total: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for part, row, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                kind, wide = ("<f8", "<f8") if part >= CONTEXTS else ("<i4", "<i8")
+                x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
+                if (part, row) in total:
+                    total[part, row][0] += x
+                    total[part, row][1] += y
+                else:
+                    total[part, row] = [x.astype(wide), y.astype(wide)]
+        for (part, row), (zeros, ones) in total.items():
+            if part < CONTEXTS:
+                zeros, ones = np.log((ones + prior) / (zeros + prior)).astype("<f4"), ones[:0]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([zeros.tobytes()], pa.binary()), pa.array([ones.tobytes()], pa.binary())], ["part", "row", "zeros", "ones"])
+
+    return run
 
 
 def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
@@ -321,28 +330,30 @@ def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
     few = {(r["kind"], r["key"]): r["n"] for r in counted.filter("kind > 0").collect()}  # at most 258 rows
     ends = few.get((2, 0), 0)
     distinct, words = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    head = tokens.orderBy(F.desc("n"), "token").limit(rule.head).toPandas()
-    key, count = head["token"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    head = most_frequent(tokens, "n", rule.head).toArrow()
+    key, count = head["token"].to_numpy().view(np.uint64), head["n"].to_numpy()
+    order = np.lexsort((key, -count))
+    key, count = key[order], count[order]
     k = min(rule.symbols, len(key))
     letters = np.array([few.get((1, i), 0) for i in range(257)], np.int64)
     rest = int(words - count[:k].sum())
     code = Code.of(np.concatenate([count[:k], [ends + 1, max(rest, distinct // 2) + 1]]))
     order = np.argsort(key)
     symbol = np.where(order < k, order, -1)
-    model = Model(key[order], count[order], symbol, distinct <= rule.head, code, Code.of(letters + 1), int(words + ends), int(distinct + (ends > 0)), int(ends))
+    del head
+    model = Model(key[order], count[order], symbol.astype(np.int32), distinct <= rule.head, code, Code.of(letters + 1), int(words + ends), int(distinct + (ends > 0)), int(ends))
     told = Model(**{**model.__dict__})
     kept = symbol >= 0  # training needs the symbols' tokens only
     told.tokens, told.counts, told.symbol = told.tokens[kept], told.counts[kept], symbol[kept]
     sent = spark.sparkContext.broadcast(told)
-    rows = texts.mapInArrow(_learn(sent, rule), _PART).repartition("part", "row").mapInArrow(_add, _PART).toPandas()  # as large as the tables
+    rows = texts.mapInArrow(_learn(sent, rule), _PART).repartition("part", "row").mapInArrow(_add(rule.prior), _PART).toArrow()  # as large as the tables
     slots, step = 1 << rule.slot_bits, min(rule.row_slots, 1 << rule.slot_bits)
     model.tables = np.zeros((CONTEXTS, slots), np.float32)
     model.weights = np.full((2, GATES, CONTEXTS + 1), 0.5, np.float32)
     model.refined = np.tile(np.arange(BUCKETS) - 12.0, (2, GATES, 1)).astype(np.float32)
-    for part, row, a, b in rows.itertuples(index=False):
+    for part, row, a, b in zip(*(rows.column(i).to_pylist() for i in range(4))):
         if part < CONTEXTS:
-            z, o = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
-            model.tables[part, row * step : (row + 1) * step] = np.log((o + rule.prior) / (z + rule.prior))
+            model.tables[part, row * step : (row + 1) * step] = np.frombuffer(a, "<f4")
         elif part == CONTEXTS:
             z, o = (np.frombuffer(x, "<f8").reshape(2, GATES, BUCKETS) for x in (a, b))
             # Each cell starts as 20 decisions of its own log odds.
