@@ -84,7 +84,7 @@ def wikilinks(notes: DataFrame) -> DataFrame:
 def _frontmatter(notes: DataFrame) -> DataFrame:
     parsed = notes.select("path", T.lines(F.col("text")).alias("lines")).filter(F.coalesce(F.get("lines", F.lit(0)).rlike(DELIMITER), F.lit(False)))
     close = F.try_element_at(F.filter(F.transform("lines", lambda x, i: F.when((i > 0) & x.rlike(DELIMITER), i)), lambda i: i.isNotNull()), F.lit(1))
-    return parsed.select("path", F.slice("lines", 2, F.coalesce(close, F.size("lines")) - 1).alias("fm"))
+    return parsed.select("path", F.slice("lines", 2, F.greatest(F.coalesce(close, F.size("lines")) - 1, F.lit(0))).alias("fm"))
 
 
 def _clean(c: Column) -> Column:
@@ -166,7 +166,7 @@ def read_section(notes: DataFrame, section: str) -> DataFrame:
     joined = notes.join(chosen, "path")
     ls = T.lines(F.col("text"))
     count = F.coalesce(F.col("s.last_line"), F.size(ls)) - F.col("s.line") + 1
-    return joined.select("path", F.array_join(F.slice(ls, F.col("s.line"), count), "\n").alias("section_text"))
+    return joined.select("path", F.array_join(F.slice(ls, F.col("s.line"), F.greatest(count, F.lit(0))), "\n").alias("section_text"))
 
 
 def truncated(text: Column, limit: int) -> Column:
