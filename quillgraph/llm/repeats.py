@@ -89,12 +89,14 @@ def _segments(block, rule: Repeats) -> tuple[np.ndarray, ...]:
     windows = end - at
     key = least[at]
     content = values.of(at, end + length - 1)
-    # Places of minimizers; two of equal value less than a window apart make windows repeat inside, perhaps.
+    # Places of minimizers; two of equal value, the next one at most `width` on (farther and a window between them
+    # has neither, which ends the segment), make windows repeat inside, perhaps.
     most = _slide(least, width, np.maximum)  # by first window; the k-gram at start + width - 1 is in all of them
     place = np.flatnonzero(gram[width - 1 : width - 1 + len(most)] == most) + width - 1
     edge = np.concatenate([np.arange(min(width - 1, len(gram))), np.arange(width - 1 + len(most), len(gram))])
-    place = np.sort(np.concatenate([place, edge]))
-    near = np.flatnonzero((gram[place[1:]] == gram[place[:-1]]) & (place[1:] - place[:-1] < width))
+    place = np.unique(np.concatenate([place, edge]))
+    place = place[np.argsort(gram[place], kind="stable")]  # next to each place the next one of its value
+    near = np.flatnonzero((gram[place[1:]] == gram[place[:-1]]) & (place[1:] - place[:-1] <= width))
     inner = np.zeros(len(at), bool)
     if len(near):
         a = np.searchsorted(at, np.maximum(place[near + 1] - width + 1, 0), "right") - 1
