@@ -4,8 +4,8 @@ A text is its lower-cased words and an end. The most frequent tokens are symbols
 from the training counts; any other word is an escape and then its bytes and a stop, in a second Huffman
 code. So a text is a sequence of binary decisions, a few for each word, and every text has a probability.
 
-For each decision several contexts (the node of the code with nothing, the end of the previous word, and
-so on) are hashed into tables of counts of zeros and ones. Each count pair gives a log odds; these are
+For each decision several contexts (the node of the code with nothing, the end of the previous word, that
+word, and so on) are hashed into tables of counts of zeros and ones. Each count pair gives a log odds; these are
 summed with weights that a gate (the depth in the code, the place in the word) selects, and the sum is
 refined by a small adaptive map from gate and log odds to what was found there. In training a task goes
 through its documents once: each block is predicted from the counts so far, weights and map learn from the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize, most_frequent
 from quillgraph.llm.kernels import NOT_SPACE, Words, blocks, concat_ranges, mix
 
-CONTEXTS = 3
+CONTEXTS = 5
 #: Symbols so frequent that the last one seen tells the language.
 ANCHORS = 64
 GATES = 32
@@ -43,7 +43,7 @@ STOP = 256
 class Mixing:
     #: Tokens with a code of their own, at most.
     symbols: int = 1 << 16
-    #: Slots of each context's table, as a power of two. Three tables of two 4-byte counts.
+    #: Slots of each context's table, as a power of two. A table has two 4-byte counts a slot.
     slot_bits: int = 20
     #: Tokens whose counts are broadcast, at most (20 bytes each); the others' are joined.
     head: int = 1 << 19
@@ -111,7 +111,20 @@ class Decisions:
     document: np.ndarray
     bit: np.ndarray
     gate: np.ndarray
-    slots: list[np.ndarray]
+    #: Of each decision its owner (a word or letter) and node; of each context the owners' hashes.
+    owner: np.ndarray
+    node: np.ndarray
+    contexts: list[np.ndarray]
+
+    def slots(self, bits: int) -> Iterator[np.ndarray]:
+        """Table slots of each context in turn, as all of them together take much memory."""
+        node = self.node.view(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        for c in self.contexts:
+            h = c.take(self.owner)
+            h += node
+            h *= np.uint64(0x9FB21C651E98DF25)
+            h >>= np.uint64(64 - bits)
+            yield h.view(np.int64)
 
 
 def _hash(*parts) -> np.ndarray:
@@ -122,12 +135,6 @@ def _hash(*parts) -> np.ndarray:
     return h
 
 
-def _slots(context: np.ndarray, owner: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Table slots of decisions: of each one its owner's context and its node."""
-    h = (context[owner] + node.view(np.uint64) * np.uint64(0xA24BAED4963EE407)) * np.uint64(0x9FB21C651E98DF25)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _find(tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places of hashes among the sorted tokens; -1 for none."""
     if not len(tokens):
@@ -136,7 +143,7 @@ def _find(tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(tokens[at] == h, at, -1)
 
 
-def _decisions(w: Words, place: np.ndarray, model: Model, bits: int) -> list[Decisions]:
+def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Decisions]:
     """The word decisions and the letter decisions of a block."""
     n_docs = len(w.counts)
     escape = len(model.words.length) - 1
@@ -152,6 +159,7 @@ def _decisions(w: Words, place: np.ndarray, model: Model, bits: int) -> list[Dec
     ending = np.zeros(len(w.hash) + 1, np.uint64)
     ending[1:] = (w.data[last].astype(np.uint64) << np.uint64(8) | w.data[np.maximum(last - 1, w.start)]) + np.uint64(1)
     previous = np.where(where > begin, ending[where], np.uint64(0))
+    word = np.where(where > begin, np.concatenate([np.zeros(1, np.uint64), w.hash])[where], np.uint64(0))
     seen = np.zeros(len(w.hash) + 1, np.int64)
     seen[1:] = np.maximum.accumulate(np.where(symbol < ANCHORS, np.arange(1, len(w.hash) + 1), 0))
     at = seen[where]
@@ -162,8 +170,8 @@ def _decisions(w: Words, place: np.ndarray, model: Model, bits: int) -> list[Dec
     entry = concat_ranges(code.first[all_symbols], size)
     node = code.node[entry]
     depth = entry - code.first[all_symbols][own]
-    contexts = [np.full(len(all_symbols), 11, np.uint64), _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2)]
-    words = Decisions(doc[own], code.bit[entry], np.minimum(depth, GATES - 1), [_slots(c, own, node, bits) for c in contexts])
+    contexts = [np.full(len(all_symbols), 11, np.uint64), _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2), _hash(previous, 3), _hash(word, 8)]
+    words = Decisions(doc[own], code.bit[entry], np.minimum(depth, GATES - 1), own, node, contexts)
     # Letters of rare words, each with a stop.
     length = w.end[rare] - w.start[rare]
     letter_word = np.repeat(np.arange(len(rare)), length + 1)
@@ -180,8 +188,8 @@ def _decisions(w: Words, place: np.ndarray, model: Model, bits: int) -> list[Dec
     own = np.repeat(np.arange(len(letter)), size)
     entry = concat_ranges(code.first[letter], size)
     node = code.node[entry]
-    contexts = [_hash(orders[1], anchor[rare][letter_word], 4), _hash(orders[1], np.minimum(position, 15), 5), _hash(orders[3], 7)]
-    letters = Decisions(w.document()[rare][letter_word][own], code.bit[entry], np.minimum(position, GATES - 1)[own], [_slots(c, own, node, bits) for c in contexts])
+    contexts = [_hash(orders[0], anchor[rare][letter_word], 4), _hash(orders[1], anchor[rare][letter_word], np.minimum(position, 15), 5), _hash(orders[2], 6), _hash(orders[3], 9), _hash(orders[4], 7)]
+    letters = Decisions(w.document()[rare][letter_word][own], code.bit[entry], np.minimum(position, GATES - 1)[own], own, node, contexts)
     return [words, letters]
 
 
@@ -254,10 +262,13 @@ def _learn(model, rule: Mixing):
             for block in blocks(batch.column(0)) if batch.num_rows else ():
                 any_rows = True
                 w = block.words(NOT_SPACE)
-                for stream, d in enumerate(_decisions(w, _find(m.tokens, w.hash), m, rule.slot_bits)):
+                for stream, d in enumerate(_decisions(w, _find(m.tokens, w.hash), m)):
                     if not len(d.bit):
                         continue
-                    inputs = [odds[i].take(s) for i, s in enumerate(d.slots)]
+                    inputs = []
+                    for i, s in enumerate(d.slots(rule.slot_bits)):
+                        inputs.append(odds[i].take(s))
+                        counts[i].reshape(-1)[:] += np.bincount(s * 2 + d.bit, minlength=2 * slots)  # odds stay until the block ends
                     z = _mixed(inputs, weights[stream], d.gate)
                     p = 1 / (1 + np.exp(-z))
                     error = d.bit - p
@@ -271,8 +282,6 @@ def _learn(model, rule: Mixing):
                     seen[stream] += number
                     cell = _cell(z, d.gate)
                     found[:, stream] += np.bincount(cell * 2 + d.bit, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
-                    for i, s in enumerate(d.slots):
-                        counts[i].reshape(-1)[:] += np.bincount(s * 2 + d.bit, minlength=2 * slots)
                 for i in range(CONTEXTS):
                     pair = counts[i].astype(np.float32) + prior
                     np.log(pair[:, 1] / pair[:, 0], out=odds[i])
@@ -397,10 +406,10 @@ def _score(model, rule: Mixing):
                 base = np.bincount(doc[settled], np.log10(count[settled] + 0.5) - scale, n_docs) + np.log10(m.ends + 0.5) - scale
                 n_known = np.bincount(doc[known], minlength=n_docs) + (m.ends > 0)
                 score = np.zeros(n_docs)
-                for stream, d in enumerate(_decisions(w, place, m, rule.slot_bits)):
+                for stream, d in enumerate(_decisions(w, place, m)):
                     if not len(d.bit):
                         continue
-                    z = _mixed([m.tables[i].take(s) for i, s in enumerate(d.slots)], m.weights[stream], d.gate)
+                    z = _mixed([m.tables[i].take(s) for i, s in enumerate(d.slots(rule.slot_bits))], m.weights[stream], d.gate)
                     z = np.float32(0.5) * (z + m.refined[stream].reshape(-1).take(_cell(z, d.gate)))
                     np.negative(z, out=z, where=d.bit)
                     score -= np.bincount(d.document, np.log(1 + np.exp(z)), n_docs) / np.log(10)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillgraph.llm import repeats
+from quillgraph.llm import mixing, repeats
 from quillgraph.llm.common import ship
 
 DOC = "doc_id long, text string"
@@ -28,3 +28,17 @@ def test_suffix_dedup_periods(spark):
     for docs in (alone, alone.coalesce(1)):
         got = {x[0]: tuple(x)[1:] for x in repeats.remove_repeats(docs, keep=False).collect()}
         assert got == repeats.brute_force(rows)
+
+
+def test_mixing_learns_from_the_previous_word(spark):
+    """Words that end alike are followed by different words: only the previous word itself tells which."""
+    r = random.Random(3)
+    stems = [a + b + c for a in "bcdfghklmn" for b in "aeiou" for c in "lmnrst"]
+    pairs = [(x + "ing", y + "ed") for x, y in zip(stems, r.sample(stems, len(stems)))]
+    texts = [" ".join(w for p in r.choices(pairs, k=200) for w in p) for _ in range(250)]
+    mixed = [" ".join(w for p in r.choices(pairs, k=200) for w in (p[0], r.choice(pairs)[1])) for _ in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(mixed)], DOC)
+    got = [(x["doc_id"], x["held_out"], x["bits_per_byte"]) for x in mixing.score(rows, mixing.Mixing(slot_bits=16)).collect()]
+    alike = [b for d, held, b in got if held and d < 1000]
+    other = [b for d, held, b in got if d >= 1000]
+    assert alike and sum(alike) / len(alike) < 0.8 * sum(other) / len(other)
