@@ -3,12 +3,14 @@
 Markup decides where it speaks: menus, headers, footers, asides, forms, adverts, notices and comments are
 left out, and where a page has an article (or a main element), its blocks are the text. What is left of
 other pages is a stream of tokens. The streams of a host's pages are one string: runs of `run` tokens or
-more that are found on two pages or more of the host are boilerplate; what they cover is removed, and
-each block keeps its unique runs.
+more that are found on several pages and a share of the host's pages are boilerplate; what they cover is
+removed, and each block keeps its other runs. Equal streams of a host are one page, so copies of a page do
+not remove each other, nor does what two pages quote.
 
 The host's suffix array is dealt by minimizer: every window of `run` tokens belongs to the shard of its
 least hashed k-gram and its host, so all occurrences meet there, whatever the number of the host's pages.
-A batch sends each different segment once, so boilerplate on every page of a host is few rows.
+A batch sends each different segment once, so boilerplate on every page of a host is few rows, with the
+pages' places in them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize
-from quillgraph.llm.kernels import RangeHash, mix
+from quillgraph.llm.kernels import RangeHash, concat_ranges, mix
 from quillgraph.llm.repeats import _slide
 from quillgraph.llm.suffix import suffix_array
 
@@ -51,6 +53,9 @@ ARTICLE, MAIN, OPEN = 3, 2, 1
 class Boilerplate:
     #: Tokens of a repeated run at least.
     run: int = 8
+    #: A run is boilerplate on so many different pages of its host, and on such a share of them, at least.
+    pages: int = 3
+    share: float = 0.1
     gram: int = 4
     #: Segments that a batch gathers before it sends them.
     batch: int = 200_000
@@ -165,15 +170,8 @@ def _parse(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(levels, pa.int32()), pa.array(kept, pa.list_(pa.string())), pa.array(left, pa.list_(pa.string()))], ["rid", "page_id", "url", "host", "level", "blocks", "open"])
 
 
-_SEGMENT = "kind byte, key long, rid long, start int, windows int, tokens array<long>"
-
-
-def _out(kind: int, key, rid, start, windows, tokens) -> pa.RecordBatch:
-    n = len(rid)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array(key if key is not None else [0] * n, pa.int64()), pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(tokens if tokens is not None else [None] * n, pa.list_(pa.int64()))],
-        ["kind", "key", "rid", "start", "windows", "tokens"],
-    )
+_SEGMENT = "key long, need long, tokens array<long>, pages array<long>, starts array<int>"
+_RUN = "page long, start int, windows int"
 
 
 def _token_hashes(words: list[str]) -> np.ndarray:
@@ -183,32 +181,20 @@ def _token_hashes(words: list[str]) -> np.ndarray:
 
 
 def _deal(rule: Boilerplate):
-    """Segments of the pages' open token streams by minimizer and host. A segment that a batch has from two
-    pages is settled there (kind 1: windows that are found on other pages too) and sent once."""
+    """Segments of the different pages' open token streams by minimizer and host. A batch sends a segment once,
+    with the places where it is found and the number of pages that make a run of its host boilerplate."""
     width = rule.run - rule.gram + 1
 
     def send(held: dict) -> Iterator[pa.RecordBatch]:
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        done: tuple[list, ...] = ([], [], [])
-        for (key, _), (tokens, places) in held.items():
-            if len({p[0] for p in places}) > 1:
-                for rid, start in places:
-                    for x, v in zip(done, (rid, start, len(tokens) - rule.run + 1)):
-                        x.append(v)
-                places = places[:1]
-            for rid, start in places:
-                for x, v in zip(rows, (key, rid, start, len(tokens) - rule.run + 1, tokens.view(np.int64).tolist())):
-                    x.append(v)
-        if done[0]:
-            yield _out(1, None, *done, None)
-        if rows[0]:
-            yield _out(0, *rows)
+        columns = zip(*((key, need, tokens.view(np.int64), [p for p, _ in places], [x for _, x in places]) for (key, _), (tokens, need, places) in held.items()))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)], ["key", "need", "tokens", "pages", "starts"])
 
     def run(batches):
         held: dict = {}
         n = 0
         for batch in batches:
-            for rid, host, blocks in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for page, host, blocks, need in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tokens = _token_hashes([w for b in blocks for w in b.split(" ")])
                 if len(tokens) < rule.run:
                     continue
@@ -219,7 +205,7 @@ def _deal(rule: Boilerplate):
                 keys = mix(least[begin] ^ salt).view(np.int64).tolist()
                 for key, a, b in zip(keys, begin.tolist(), end.tolist()):
                     part = tokens[a : b + rule.run - 1]
-                    held.setdefault((key, part.tobytes()), (part, []))[1].append((rid, a))
+                    held.setdefault((key, part.tobytes()), (part, need, []))[2].append((page, a))
                     n += 1
                 if n >= rule.batch:
                     yield from send(held)
@@ -231,13 +217,14 @@ def _deal(rule: Boilerplate):
 
 
 def _sort(rule: Boilerplate):
-    """Rows sorted by key. The suffix array of some keys' segments: windows of `run` tokens that stand on two
-    pages or more."""
+    """Rows sorted by key. The suffix array of some keys' segments: windows of `run` tokens that stand on as
+    many different pages of the host as make them boilerplate."""
 
     def settle(rows: list) -> Iterator[pa.RecordBatch]:
-        flat = np.concatenate([np.append(np.array(t, np.int64), 0) for *_, t in rows])
-        ends = np.cumsum([len(t) + 1 for *_, t in rows])
-        begin = ends - np.array([len(t) + 1 for *_, t in rows])
+        size = np.array([len(r[2]) + 1 for r in rows])
+        flat = np.concatenate([np.append(np.array(r[2], np.int64), 0) for r in rows])
+        ends = np.cumsum(size)
+        begin = ends - size
         value, symbol = np.unique(flat, return_inverse=True)
         symbol = symbol + 1
         symbol[ends - 1] = 0
@@ -249,25 +236,30 @@ def _sort(rule: Boilerplate):
         # Hosts with the same words have different keys, and are kept apart.
         key = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
         group = np.unique(group * (len(rows) + 1) + key[segment], return_inverse=True)[1]
-        rid = np.array([r[1] for r in rows])[segment]
-        low = np.full(group.max() + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        high = np.full(len(low), np.iinfo(np.int64).min)
-        np.minimum.at(low, group, rid)
-        np.maximum.at(high, group, rid)
-        several = (low < high)[group]
-        if several.any():
-            start = np.array([r[2] for r in rows])[segment] + order - begin[segment]
-            yield _out(1, None, rid[several].tolist(), start[several].tolist(), [1] * int(several.sum()), None)
+        # The pages of each window's segments; a page counts once.
+        count = np.array([len(r[3]) for r in rows])
+        place = concat_ranges((np.cumsum(count) - count)[segment], count[segment])
+        page = np.concatenate([np.array(r[3], np.int64) for r in rows])[place]
+        start = np.concatenate([np.array(r[4], np.int64) for r in rows])[place] + np.repeat(order - begin[segment], count[segment])
+        need = np.array([r[1] for r in rows])[np.repeat(segment, count[segment])]
+        group = np.repeat(group, count[segment])
+        by = np.lexsort((page, group))
+        new = np.ones(len(by), bool)
+        new[1:] = (group[by][1:] != group[by][:-1]) | (page[by][1:] != page[by][:-1])
+        often = np.bincount(group[by][new])[group] >= need if len(group) else np.zeros(0, bool)
+        if often.any():
+            n = int(often.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(page[often]), pa.array(start[often].astype(np.int32)), pa.array(np.ones(n, np.int32))], ["page", "start", "windows"])
 
     def run(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if row[0] != last and size >= rule.shard_tokens:
                     yield from settle(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[2]) + len(row[3])
                 last = row[0]
         if rows:
             yield from settle(rows)
@@ -301,19 +293,21 @@ def main_text(pages: DataFrame, rule: Boilerplate = Boilerplate(), id_col: str =
 
     Character references are decoded, white space within a block is one space, blocks are joined by two line
     feeds. Null and empty pages, and pages without text of their own, have the empty text. A null url is a host
-    of its own; repeated rows are pages of their own, so an open page that is there twice is boilerplate to
-    the other. An empty table gives no rows. Other columns are not used.
+    of its own. Repeated rows, and open pages of a host with the same words, count as one page, and each has its
+    text. A host of fewer different pages than `pages` has no boilerplate. An empty table gives no rows. Other columns are not used.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/?#]*)", 1))
     thin = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     parsed = materialize(thin.mapInArrow(_parse, _PARSED.format(id=thin.schema["page_id"].dataType.simpleString())), "parsed")
-    streams = parsed.filter(F.size("open") > 0).select("rid", "host", "open")
-    dealt = materialize(streams.mapInArrow(_deal(rule), _SEGMENT), "host-segments")
-    sorted_ = dealt.filter("kind = 0").repartition("key").sortWithinPartitions("key").mapInArrow(_sort(rule), _SEGMENT)
-    runs = dealt.filter("kind = 1").unionByName(sorted_).groupBy("rid").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
+    parsed = parsed.withColumn("page", F.xxhash64("host", F.array_join("open", " ")))
+    streams = materialize(parsed.filter(F.size("open") > 0).select("page", "host", "open").dropDuplicates(["page"]), "streams")
+    need = F.greatest(F.lit(rule.pages), F.ceil(F.count(F.lit(1)) * rule.share)).cast("long").alias("need")
+    dealt = streams.join(streams.groupBy("host").agg(need), "host").select("page", "host", "open", "need").mapInArrow(_deal(rule), _SEGMENT)
+    sorted_ = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(rule), _RUN)
+    runs = sorted_.groupBy("page").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
     # Pages without an article: what is unique on their host. The others need no join.
     without = parsed.filter((F.col("level") <= OPEN) & (F.size("open") > 0))
-    unique = without.select("rid", "open").join(runs, "rid", "left").mapInArrow(_unique_runs(rule), "rid long, blocks array<string>")
+    unique = without.select("page", "rid", "open").join(runs, "page", "left").select("rid", "open", "runs").mapInArrow(_unique_runs(rule), "rid long, blocks array<string>")
     columns = ["page_id", "url", "blocks"]
     decided = parsed.filter((F.col("level") > OPEN) | (F.size("open") == 0)).select(*columns)
     found = decided.unionByName(without.drop("blocks").join(unique, "rid").select(*columns))

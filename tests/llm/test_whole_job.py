@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillgraph.llm import mixing, repeats
+from quillgraph.llm import extract, mixing, repeats
 from quillgraph.llm.common import ship
 
 DOC = "doc_id long, text string"
@@ -42,3 +42,49 @@ def test_mixing_learns_from_the_previous_word(spark):
     alike = [b for d, held, b in got if held and d < 1000]
     other = [b for d, held, b in got if d >= 1000]
     assert alike and sum(alike) / len(alike) < 0.8 * sum(other) / len(other)
+
+
+def extraction_brute_force(rows, rule):
+    """page_id -> text of open pages (page_id, url, [blocks]), window by window."""
+    host = lambda u: u.split("/")[2]
+    words = {p: " ".join(blocks).split(" ") for p, _, blocks in rows}
+    pages, found = {}, {}
+    for p, u, _ in rows:
+        pages.setdefault(host(u), set()).add(tuple(words[p]))
+        for i in range(len(words[p]) - rule.run + 1):
+            found.setdefault((host(u), tuple(words[p][i : i + rule.run])), set()).add(tuple(words[p]))
+    out = {}
+    for p, u, blocks in rows:
+        gone = set()
+        for i in range(len(words[p]) - rule.run + 1):
+            if len(found[host(u), tuple(words[p][i : i + rule.run])]) >= max(rule.pages, rule.share * len(pages[host(u)])):
+                gone.update(range(i, i + rule.run))
+        at, kept = 0, []
+        for b in blocks:
+            n = len(b.split(" "))
+            rest = [x for i, x in enumerate(words[p][at : at + n], at) if i not in gone]
+            at += n
+            if rest:
+                kept.append(" ".join(rest))
+        out[p] = "\n\n".join(kept)
+    return out
+
+
+def test_extraction_counts_different_pages(spark):
+    """Copies of an open page keep their text, as does a quotation of two pages; menus go."""
+    r = random.Random(5)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    menu, quote, twice = say(10), say(12), say(30)
+    rows = []
+    for h in ("a.org", "b.org"):
+        for i in range(40):
+            blocks = [menu] if i % 3 else []
+            blocks += [say(20)] + ([quote] if i in (4, 5) else []) + ([menu + " " + say(2) + " " + menu] if i == 7 else [])
+            rows.append((len(rows), f"http://{h}/{i}", blocks))
+        rows += [(len(rows) + k, f"http://{h}/same?utm_source={k}", [menu, twice]) for k in range(6)]
+    page = lambda blocks: "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>"
+    table = spark.createDataFrame([(p, u, page(b)) for p, u, b in rows], "page_id long, url string, html string").repartition(3)
+    for rule in (extract.Boilerplate(), extract.Boilerplate(batch=3, shard_tokens=4), extract.Boilerplate(share=0.8)):
+        got = {x["page_id"]: x["text"] for x in extract.main_text(table, rule).collect()}
+        assert got == extraction_brute_force(rows, rule)
+    assert twice in extract.main_text(table).filter("page_id = 40").first()["text"]
