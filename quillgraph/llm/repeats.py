@@ -11,9 +11,12 @@ minimizer form a segment, so a shard holds strings little longer than a window,
 3. The bytes of these are fetched from the documents and meet again by minimizer; an external
    induced sorting of each shard's segments gives its suffix array and common prefixes, and windows
    of a run with a common prefix of `length` are the same string: all but the first are repeats.
+   A minimizer with more bytes of different segments than a task should hold is split by window
+   instead: of each batch every different window goes once to the shard of its own hash.
 4. The repeats' spans return to their documents.
 
-Segments are compared by 64-bit hash within a minimizer; suffixes byte by byte.
+Segments are compared by 64-bit hash within a minimizer, and so are a split minimizer's windows; suffixes byte
+by byte.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ class Repeats:
     batch: int = 600_000
     #: Bytes that are sorted together, besides those of the last minimizer.
     shard_bytes: int = 2 << 20
+    #: Bytes of a minimizer's different segments beyond which it is split by window.
+    hot_bytes: int = 8 << 20
     memory: Memory = Memory()
 
 
@@ -109,7 +114,7 @@ def _segments(block, rule: Repeats) -> tuple[np.ndarray, ...]:
     return has[doc], at, windows, key, content, inner
 
 
-#: Rows between the steps. kind 0: a segment; 1: windows that repeat an earlier one.
+#: Rows between the steps. kind 0: a segment; 1: windows that repeat an earlier one; 2: a segment of a minimizer to be split.
 _ROW = "kind byte, key long, content long, seq long, start int, windows int"
 
 
@@ -175,32 +180,40 @@ def _cut(rule: Repeats):
     return run
 
 
-def _meet(batches):
-    """Of one shard of minimizers: repeats as they are, those of equal segments, and as kind 0 the different
+def _meet(rule: Repeats):
+    """Of one shard of minimizers: repeats as they are, those of equal segments, and as kind 0 or 2 the different
     segments of a minimizer that has several, or one with its minimizer twice inside."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    kind, key, content, seq, start, windows = (t[c].to_numpy() for c in t.column_names)
-    done = kind == 1
-    segment = np.flatnonzero(~done)
-    key, content, s_seq, s_start, signed = key[segment], content[segment], seq[segment], start[segment], windows[segment]
-    inner, s_windows = signed < 0, np.abs(signed)
-    order, first = _settle(key, content, s_seq, s_start, s_windows)
-    again = order[~first]
-    joined = _joined(np.concatenate([seq[done], s_seq[again]]), np.concatenate([start[done], s_start[again]]), np.concatenate([windows[done], s_windows[again]]))
-    if len(joined[0]):
-        yield _rows(1, None, None, *joined)
-    own = order[first]
-    k = key[own]
-    alone = np.ones(len(own), bool)
-    same = k[1:] == k[:-1]
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    go = own[~alone | inner[own]]
-    if len(go):
-        yield _rows(0, key[go].copy(), None, s_seq[go], s_start[go], s_windows[go])
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        kind, key, content, seq, start, windows = (t[c].to_numpy() for c in t.column_names)
+        done = kind == 1
+        segment = np.flatnonzero(~done)
+        key, content, s_seq, s_start, signed = key[segment], content[segment], seq[segment], start[segment], windows[segment]
+        inner, s_windows = signed < 0, np.abs(signed)
+        order, first = _settle(key, content, s_seq, s_start, s_windows)
+        again = order[~first]
+        joined = _joined(np.concatenate([seq[done], s_seq[again]]), np.concatenate([start[done], s_start[again]]), np.concatenate([windows[done], s_windows[again]]))
+        if len(joined[0]):
+            yield _rows(1, None, None, *joined)
+        own = order[first]
+        k = key[own]
+        alone = np.ones(len(own), bool)
+        same = k[1:] == k[:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        go = own[~alone | inner[own]]
+        if len(go):
+            k = key[go]
+            begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.add.reduceat(s_windows[go].astype(np.int64) + rule.length - 1, begin)
+            hot = np.repeat(size > rule.hot_bytes, np.diff(np.append(begin, len(go))))
+            yield _rows(np.where(hot, 2, 0), k.copy(), None, s_seq[go], s_start[go], s_windows[go])
+
+    return run
 
 
 def _fetch(length: int):
@@ -234,6 +247,31 @@ def _fetch(length: int):
     return run
 
 
+def _split(rule: Repeats):
+    """Each window of the segments, by its own hash: of a batch the first of equal ones as kind 0, the others as
+    repeats. So a window goes to its shard once from a batch, however many segments hold it."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                raw = rows.column(3)
+                offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4).astype(np.int64)
+                data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                windows = np.diff(offsets) - rule.length + 1
+                at = concat_ranges(offsets[:-1] - offsets[0], windows)
+                h = RangeHash(BYTE_VALUES[data]).all(rule.length)[at]
+                key, seq, start = (np.repeat(rows.column(i).to_numpy(), windows) for i in range(3))
+                start = start + concat_ranges(np.zeros(len(windows), np.int64), windows)
+                one = np.ones(len(at), np.int64)
+                order, first = _settle(h, key, seq, start, one)
+                own, again = order[first], order[~first]
+                yield _rows(0, h[own], key[own], seq[own], start[own], one[own])
+                if len(again):
+                    yield _rows(1, None, None, *_joined(seq[again], start[again], one[again]))
+
+    return run
+
+
 def _sort_segments(rule: Repeats, seq: np.ndarray, start: np.ndarray, raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """seq and place of the windows that repeat an earlier one of these segments."""
     raw = raw.cast(pa.large_binary())
@@ -263,7 +301,7 @@ def _sort_segments(rule: Repeats, seq: np.ndarray, start: np.ndarray, raw: pa.Ar
 
 
 def _sort_shard(rule: Repeats):
-    """Rows come sorted by minimizer. Minimizers are taken together up to shard_bytes; one is never split."""
+    """Rows come sorted by minimizer. Minimizers are taken together up to shard_bytes; those over hot_bytes are not among them."""
 
     def sort(parts) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -306,11 +344,17 @@ def _sort_shard(rule: Repeats):
 def repeated_windows(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     """seq, start, windows: runs of window starts, in bytes, that repeat an earlier window. docs has seq
     (a different long in each row; the order of documents) and text."""
-    found = materialize(docs.select("seq", "text").mapInArrow(_cut(rule), _ROW).repartition("key", "kind", F.when(F.col("kind") == 1, F.col("seq"))).mapInArrow(_meet, _ROW), "segments")
-    wanted = found.filter("kind = 0").groupBy("seq").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
-    pieces = docs.join(wanted, "seq").select("seq", "text", "wanted").mapInArrow(_fetch(rule.length), "key long, seq long, start int, bytes binary")
-    sorted_ = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard(rule), _ROW)
-    return found.filter("kind = 1").select("seq", "start", "windows").unionByName(sorted_.select("seq", "start", "windows"))
+    by = ["key", "kind", F.when(F.col("kind") == 1, F.col("seq"))]
+    found = materialize(docs.select("seq", "text").mapInArrow(_cut(rule), _ROW).repartition(*by).mapInArrow(_meet(rule), _ROW), "segments")
+
+    def pieces(kind: int) -> DataFrame:
+        wanted = found.filter(F.col("kind") == kind).groupBy("seq").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
+        return docs.join(wanted, "seq").select("seq", "text", "wanted").mapInArrow(_fetch(rule.length), "key long, seq long, start int, bytes binary")
+
+    repeats = found.filter("kind = 1").unionByName(pieces(0).repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard(rule), _ROW))
+    if not found.filter("kind = 2").isEmpty():
+        repeats = repeats.unionByName(pieces(2).mapInArrow(_split(rule), _ROW).repartition(*by).mapInArrow(_meet(rule), _ROW).filter("kind = 1"))
+    return repeats.select("seq", "start", "windows")
 
 
 def with_order(docs: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -88,3 +88,26 @@ def test_extraction_counts_different_pages(spark):
         got = {x["page_id"]: x["text"] for x in extract.main_text(table, rule).collect()}
         assert got == extraction_brute_force(rows, rule)
     assert twice in extract.main_text(table).filter("page_id = 40").first()["text"]
+
+
+def test_suffix_dedup_splits_a_hot_minimizer(spark):
+    """A line that many documents have with other words about it is split by window; the result is the same."""
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage, around = say(90), say(104), say(40)
+    rows = []
+    for i in range(120):
+        a, b = (around, say(40)) if i % 5 == 0 else (say(60), say(60))
+        rows.append((i, a + (line if i % 2 else passage) + b + (say(69) * 3 if i % 17 == 0 else "")))
+    rows += [(200, line * 4), (201, "é" * 200), (202, None)]
+    docs = spark.createDataFrame(rows, DOC).repartition(5)
+    for hot in (0, 2000, 1 << 20):
+        rule = repeats.Repeats(batch=300, hot_bytes=hot)
+        got = {x[0]: tuple(x)[1:] for x in repeats.remove_repeats(docs, rule, keep=False).collect()}
+        assert got == repeats.brute_force(rows)
+
+    order = docs.filter("text is not null").withColumnRenamed("doc_id", "seq")
+    sent = order.select("seq", "text").mapInArrow(repeats._cut(repeats.Repeats(hot_bytes=2000)), repeats._ROW).repartition("key")
+    met = sent.mapInArrow(repeats._meet(repeats.Repeats(hot_bytes=2000)), repeats._ROW).filter("kind <> 1")
+    size = {(x["kind"], x["key"]): x["n"] for x in met.groupBy("kind", "key").agg({"windows": "sum", "*": "count"}).selectExpr("kind", "key", "`sum(windows)` + 99 * `count(1)` as n").collect()}
+    assert max(n for (kind, _), n in size.items() if kind == 0) <= 2000 < max(n for (kind, _), n in size.items() if kind == 2)
