@@ -141,6 +141,30 @@ def cosines(terms: DataFrame, limit_ratio: float = FREQUENT_RATIO) -> DataFrame:
     return joined.select("path_a", "path_b", "shared", "size_a", "size_b", (F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+def close_pairs(terms: DataFrame, least: float = MIN_COSINE, limit_ratio: float = FREQUENT_RATIO) -> DataFrame:
+    """The rows of cosines() of at least that cosine (rounded to 9 places), for notes of many terms. Terms have one
+    order, the rarest first. The first term that two notes share begins all they share, so their cosine is at most
+    the share of either's norm from that term on: only terms from which on enough is left meet in the join."""
+    total = terms.select("path").distinct().agg(F.count(F.lit(1)).alias("n"))
+    weights = term_idf(terms, total).join(F.broadcast(total), F.lit(True)).filter(F.col("df") <= F.greatest(F.lit(FREQUENT_LEAST), F.ceil(F.col("n") * limit_ratio))).select("term", "idf")
+    own = Window.partitionBy("path")
+    square = F.col("idf") * F.col("idf")
+    rest = F.sum(square).over(own.orderBy(F.desc("idf"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    kept = terms.join(weights, "term").withColumn("rest", rest).withColumn("norm", F.sum(square).over(own))
+    meet = kept.filter(F.col("rest") >= F.col("norm") * (least * least - 1e-6)).select("term", "path")
+    a, b = (meet.select("term", F.col("path").alias("path_" + x)) for x in "ab")
+    pairs = a.join(b, "term").filter("path_a < path_b").select("path_a", "path_b").distinct()
+    # Of each term a string with its weight before it: strings are intersected by hash, structs are not.
+    whole = kept.groupBy("path").agg(F.collect_list(F.concat_ws(" ", F.col("idf").cast("string"), "term")).alias("terms"), F.first("norm").alias("norm"))
+    for x in "ab":
+        pairs = pairs.join(whole.select(*[F.col(c).alias(f"{c}_{x}") for c in whole.columns]), f"path_{x}")
+    both = pairs.withColumn("both", F.array_intersect("terms_a", "terms_b"))
+    weight = lambda t: F.substring_index(t, " ", 1).cast("double")
+    dot = F.aggregate("both", F.lit(0.0), lambda sum_, t: sum_ + weight(t) * weight(t))
+    found = both.select("path_a", "path_b", F.size("both").cast("long").alias("shared"), F.size("terms_a").alias("size_a"), F.size("terms_b").alias("size_b"), (dot / F.sqrt(F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
+    return found.filter(F.round("cosine", 9) >= least)
+
+
 def name_tokens(name: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(T.tokens(name), lambda t: t.rlike(r"\p{L}")), T.fold))
 

@@ -292,6 +292,20 @@ def semantic_candidates(ix, n):
     return apart.select("path_a", "path_b", F.bround(F.round(F.col("cosine") * 100, 6)).cast("int").alias("score"))
 
 
+def whole_semantic_rows(ix: VaultIndex) -> DataFrame:
+    """As semantic_rows, with the body: all of the text that the original compares."""
+    parts = [*(F.col(c) for c in ("title", "headings", "tags", "tasks")), facts.without_frontmatter(F.col("body"))]
+    return ix.docs.select("path", F.explode(D.semantic_terms(F.concat_ws("\n", *parts))).alias("term"))
+
+
+@query
+def semantic_candidates_body(ix, n):
+    """semantic_candidates over title, headings, tags, tasks and body."""
+    rows = D.close_pairs(whole_semantic_rows(ix)).filter((F.least("size_a", "size_b") >= D.MIN_TERMS) & (F.col("shared") >= D.MIN_SHARED))
+    apart = rows.filter(T.parent(F.col("path_a")) != T.parent(F.col("path_b")))
+    return apart.select("path_a", "path_b", F.bround(F.round(F.col("cosine") * 100, 6)).cast("int").alias("score"))
+
+
 @query
 def name_similarity(ix, n):
     """Same-folder notes whose names are alike, blocked by folder and a shared word of the name."""
