@@ -77,7 +77,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the stages; the tests hold each against its brute-force version.
+#: None yet. tests/llm/test_pipeline.py holds near_duplicates and repeated_passages against brute force, and decontamination in part.
 ORACLE_SQL = None
 
 
