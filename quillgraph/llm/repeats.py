@@ -354,7 +354,8 @@ def repeated_windows(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     repeats = found.filter("kind = 1").unionByName(pieces(0).repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard(rule), _ROW))
     if not found.filter("kind = 2").isEmpty():
         repeats = repeats.unionByName(pieces(2).mapInArrow(_split(rule), _ROW).repartition(*by).mapInArrow(_meet(rule), _ROW).filter("kind = 1"))
-    return repeats.select("seq", "start", "windows")
+    # Written before the caller joins it with the texts, so that no shuffle of texts or segments is still on disk then.
+    return materialize(repeats.select("seq", "start", "windows"), "repeats")
 
 
 def with_order(docs: DataFrame, id_col: str, text: str) -> DataFrame:
