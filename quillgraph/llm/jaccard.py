@@ -6,11 +6,14 @@ least l shingles, for every l up to ceil(t n). Each document takes the l that su
 cost: where the shingles of its prefix are frequent it is lengthened, and a pair then has to share as many
 prefix shingles as the smaller of its two l before it is verified on the whole texts.
 
-Copies and near copies make groups in which every pair is a candidate. No pair list of a group is made:
+Copies and near copies make groups in which every pair shares prefix shingles. No pair list of a group is made:
 equal sets are one class; then candidates of a shingle are compared with one of them (a star), links
-merge components, and so on with other stars; at last all candidate pairs between documents that are
-still in different components are verified, each exactly. Pairs within a component need no check, as
-the result is the components, so no link between components is lost.
+merge components, and so on with another star; at last pairs between documents that are still in
+different components are compared. There a frequent (hot) shingle lists only pairs that share no colder
+prefix shingle, and those need enough hot ones: variants of one text that differ too much have too few,
+so most of their pairs are never listed. Candidates whose prefixes share enough are verified on their whole
+sets, each exactly. Pairs within a component need no check, as the result is the components, so no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,29 +29,36 @@ from pyspark.sql.window import Window
 from quillgraph.llm.common import materialize, most_frequent
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.kernels import NOT_SPACE, blocks, concat_ranges, mix
+from quillgraph.llm.repeats import with_order
 
 
 @dataclass(frozen=True)
 class Similarity:
     words: int = 5
     percent: int = 80
-    #: Expected partners of a prefix from which it is lengthened by one, two ... shingles.
-    lengthen: tuple[int, ...] = (64, 1024)
+    #: Partners that a prefix must be expected to save for each shingle that lengthens it.
+    worth: int = 64
     #: A shingle is counted where a batch of documents has it so often. Counts only order shingles.
     often: int = 2
     #: So many of the most frequent shingles are told to all tasks (16 bytes each).
     told: int = 1 << 20
-    #: Star rounds before all pairs between components are verified, if those are still many: more than
+    #: Prefix entries of a shingle from which it is hot: a pair that shares colder ones is found by those.
+    hot: int = 64
+    #: Prefix entries of a shingle that one task compares at a time; more are dealt into tiles.
+    tile: int = 1 << 14
+    #: Star rounds before all pairs between components are compared, if those are still many: more than
     #: `many` for each prefix entry.
-    stars: int = 4
+    stars: int = 2
     many: int = 4
-    #: Partners of a document that one task verifies.
-    fan: int = 512
 
     def need(self, n):
         """Least overlap of a set of n with any similar set."""
         return (self.percent * n + 99) // 100
 
+    def overlap(self, both):
+        """Least overlap of two similar sets with so many shingles together."""
+        return -((-self.percent * both) // (100 + self.percent))
+
 
 def _sets(block, rule: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """document (in the block) and hash of each shingle, sorted, each once; the sets' sizes."""
@@ -80,17 +90,17 @@ def _prints(doc, h, n) -> tuple[np.ndarray, np.ndarray]:
     return sums(mix(h)).view(np.int64), sums(mix(h ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)
 
 
-_PROFILE = "kind byte, doc_id long, n long, fp long, fp2 long"
+_PROFILE = "kind byte, seq long, id long, n long, fp long, fp2 long"
 
 
 def _profile(rule: Similarity):
-    """kind 0: a document's id, set size and fingerprints. kind 1: a shingle (doc_id) and how many documents
+    """kind 0: a document's place, id, set size and fingerprints. kind 1: a shingle (seq) and how many documents
     of some blocks have it (n), if often."""
 
     def run(batches):
-        def rows(kind, a, n, b, c):
-            k = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(n.astype(np.int64)), pa.array(b), pa.array(c)], ["kind", "doc_id", "n", "fp", "fp2"])
+        def rows(kind, a, i, n, b, c):
+            as_array = lambda x: x if isinstance(x, pa.Array) else pa.array(x)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), as_array(a), as_array(i), pa.array(n.astype(np.int64)), pa.array(b), pa.array(c)], ["kind", "seq", "id", "n", "fp", "fp2"])
 
         held, size = [], 0
 
@@ -100,12 +110,13 @@ def _profile(rule: Similarity):
             count = np.diff(np.append(begin, len(h)))
             much = count >= rule.often
             zero = np.zeros(int(much.sum()), np.int64)
-            return rows(1, h[begin[much]].view(np.int64), count[much], zero, zero)
+            return rows(1, h[begin[much]].view(np.int64), zero, count[much], zero, zero)
 
         for batch in batches:
-            for block in blocks(batch.column(1)) if batch.num_rows else ():
+            for block in blocks(batch.column(2)) if batch.num_rows else ():
                 doc, h, n = _sets(block, rule)
-                yield rows(0, batch.column(0).take(pa.array(block.rows)), n, *_prints(doc, h, n))
+                take = pa.array(block.rows)
+                yield rows(0, batch.column(0).take(take), batch.column(1).take(take), n, *_prints(doc, h, n))
                 held.append(h)
                 size += len(h)
                 if size >= 4_000_000:
@@ -117,7 +128,31 @@ def _profile(rule: Similarity):
     return run
 
 
-_PREFIX = "token long, doc_id long, fp long, n int, ell int, pos int"
+#: size_pos: set size << 32 | place in the set's order. Salt 0: the shingle is not dealt by salt.
+_PREFIX = "token long, salt int, doc long, fp long, size_pos long, ell int"
+
+
+def _lengths(often: np.ndarray, n: np.ndarray, rule: Similarity) -> np.ndarray:
+    """l of each set: where the partners that are expected to share l shingles of its prefix (those of all its
+    shingles, by l) and what l more shingles cost are least together; need(n) at most."""
+    ell = np.minimum(n, 1)
+    begin = np.cumsum(n) - n
+    total = np.concatenate([[0], np.cumsum(np.maximum(often - 1, 0))])
+    need = rule.need(n)
+    base = n - need
+    # Up to 2 * worth partners no longer prefix can be worth it.
+    many = np.flatnonzero((n > 0) & (total[begin + np.where(n > 0, base + 1, 0)] - total[begin] > 2 * rule.worth))
+    if len(many):
+        count = need[many]
+        own = np.repeat(np.arange(len(many)), count)
+        longer = concat_ranges(np.ones(len(many), np.int64), count)
+        first = begin[many][own]
+        cost = (total[first + base[many][own] + longer] - total[first]) / longer + rule.worth * longer
+        starts = np.cumsum(count) - count
+        least = np.minimum.reduceat(cost, starts)
+        at = np.flatnonzero(cost == least[own])
+        ell[many] = longer[at[np.concatenate([[True], own[at][1:] != own[at][:-1]])]]
+    return ell
 
 
 def _prefixes(rule: Similarity, frequent):
@@ -143,18 +178,13 @@ def _prefixes(rule: Similarity, frequent):
                     often[near[hit]] = counts[slot[hit]]
                     order = np.lexsort((h, often, doc))
                     h, often = h[order], often[order]
-                begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-                need = rule.need(n)
-                # What a prefix of one match costs: partners that its shingles are expected to bring.
-                total = np.concatenate([[0], np.cumsum(np.maximum(often - 1, 0))])
-                base = np.where(n > 0, n - need + 1, 0)
-                cost = total[begin + base] - total[begin]
-                ell = np.minimum(1 + np.searchsorted(np.array(rule.lengthen), cost, "right"), np.maximum(need, 1))
-                size = np.where(n > 0, n - need + ell, 0)
+                begin = np.cumsum(n) - n
+                ell = _lengths(often, n, rule)
+                size = np.where(n > 0, n - rule.need(n) + ell, 0)
                 # One entry list for each different set of this task is enough: the others are of its class.
                 fresh = np.zeros(len(n), bool)
                 for i, f in enumerate(fp.tolist()):
-                    if n[i] and f not in sent and ids[int(block.rows[i])].is_valid:
+                    if n[i] and f not in sent:
                         sent.add(f)
                         fresh[i] = True
                 if len(sent) > 2_000_000:
@@ -162,23 +192,28 @@ def _prefixes(rule: Similarity, frequent):
                 size = np.where(fresh, size, 0)
                 which = concat_ranges(begin, size)
                 own = np.repeat(np.arange(len(n)), size)
-                if len(which):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[which].view(np.int64)),
-                            ids.take(pa.array(block.rows[own])),
-                            pa.array(fp[own]),
-                            pa.array(n[own].astype(np.int32)),
-                            pa.array(ell[own].astype(np.int32)),
-                            pa.array((which - begin[own]).astype(np.int32)),
-                        ],
-                        ["token", "doc_id", "fp", "n", "ell", "pos"],
-                    )
+                if not len(which):
+                    continue
+                salts = -(-often[which] // rule.tile)
+                salt = np.where(salts > 1, 1 + (fp[own].view(np.uint64) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[which].view(np.int64)),
+                        pa.array(salt.astype(np.int32)),
+                        ids.take(pa.array(block.rows[own])),
+                        pa.array(fp[own]),
+                        pa.array(n[own].astype(np.int64) << 32 | which - begin[own]),
+                        pa.array(ell[own].astype(np.int32)),
+                    ],
+                    [x.split()[0] for x in _PREFIX.split(", ")],
+                )
 
     return run
 
 
 def _held(batches) -> list[np.ndarray] | None:
+    """The columns of a partition's rows. A partition has whole tiles, so a shingle brings rows for one tile at most
+    unless it is among the less frequent of all: then it has fewer than all shingles / `told`."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return None
@@ -186,254 +221,287 @@ def _held(batches) -> list[np.ndarray] | None:
     return [t[c].to_numpy() for c in t.column_names]
 
 
-def _possible(n, ell, pos, i, j, rule: Similarity, rank=None) -> np.ndarray:
+def _possible(n, pos, place, i, j, rule: Similarity) -> np.ndarray:
     """Length and position: whether entries i and j of one shingle can be of similar sets. What both share up to
-    this shingle is at most the smaller place; among the prefix shingles that other documents have at all (rank),
-    if that is known. What they share after it is at most the smaller rest."""
-    a, b = n[i].astype(np.int64), n[j].astype(np.int64)
-    least = -((-rule.percent * (a + b)) // (100 + rule.percent))
-    place = pos + 1 if rank is None else rank
+    this shingle is at most the smaller place; what they share after it is at most the smaller rest."""
+    a, b = n[i], n[j]
     bound = np.minimum(place[i], place[j]) + np.minimum(a - pos[i], b - pos[j]) - 1
-    return (np.minimum(a, b) * 100 >= np.maximum(a, b) * rule.percent) & (bound >= least)
+    return (np.minimum(a, b) * 100 >= np.maximum(a, b) * rule.percent) & (bound >= rule.overlap(a + b))
 
 
 _PAIRS = "a long, b long, least int"
 
 
-def _pair_rows(doc, n, ell, i, j, rule: Similarity, met=None) -> pa.RecordBatch:
-    """Pairs with the fewest shingles that their prefixes must share: as many as the smaller l; and what both
-    share beyond the prefix that ends first is at most the rest of its set, so the prefixes must share what
-    then is missing to a sufficient overlap.
+def _least(n, ell, i, j, rule: Similarity) -> np.ndarray:
+    """The fewest shingles that two prefixes must share: as many as the smaller l; and what both share beyond the
+    prefix that ends first is at most the rest of its set, so the prefixes must share what then is missing
+    to a sufficient overlap."""
+    rest = np.maximum(rule.need(n[i]) - ell[i], rule.need(n[j]) - ell[j])
+    return np.maximum(np.minimum(ell[i], ell[j]), rule.overlap(n[i] + n[j]) - rest)
 
-    met: how many of its prefix shingles each entry's document shares with any other; a pair of which one has
-    fewer than needed is left out."""
+
+def _pair_rows(doc, least, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with what its prefixes must share."""
     a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-    x, y = n[i].astype(np.int64), n[j].astype(np.int64)
-    overlap = -((-rule.percent * (x + y)) // (100 + rule.percent))
-    rest = np.maximum(rule.need(x) - ell[i], rule.need(y) - ell[j])
-    least = np.maximum(np.minimum(ell[i], ell[j]), overlap - rest)
-    if met is not None:
-        can = np.minimum(met[i], met[j]) >= least
-        a, b, least = a[can], b[can], least[can]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(least.astype(np.int32))], ["a", "b", "least"])
-
-
-def _star(token, doc, n, ell, pos, component, seed: int, rule: Similarity, rank=None):
-    """Each entry with the first of its shingle: by id in round 0, by a hash of id and round later."""
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], least[new].astype(np.int32)
+
+
+def _star(group, doc, component, seed: int):
+    """Each entry with the first of its group: by id in round 0, by a hash of id and round later."""
     score = doc if seed == 0 else mix(doc.view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    order = np.lexsort((score, token))
-    t = token[order]
+    order = np.lexsort((score, group))
+    t = group[order]
     begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     size = np.diff(np.append(begin, len(t)))
     pivot = order[np.repeat(begin, size)]
     use = (component[pivot] != component[order]) & (pivot != order)
-    i, j = pivot[use], order[use]
-    ok = _possible(n, ell, pos, i, j, rule, rank)
-    return i[ok], j[ok]
+    return pivot[use], order[use]
+
+
+_SHARED = "kind byte, a long, b long, n int, pos int, ell int, hot boolean"
 
 
 def _shared(rule: Similarity):
     """Of some shingles' prefix entries: those of shingles that different sets have (kind 0: a is the shingle),
-    and the first star's pairs (kind 1)."""
+    and the first star's pairs (kind 1, ell: what their prefixes must share)."""
+
+    def rows(kind, a, b, n, pos, ell, hot):
+        k = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in (n, pos, ell)), pa.array(hot)], [x.split()[0] for x in _SHARED.split(", ")])
 
     def run(batches):
         got = _held(batches)
         if got is None:
             return
-        token, doc, fp, n, ell, pos = got
-        order = np.lexsort((doc, fp, token))
-        token, doc, fp, n, ell, pos = (x[order] for x in (token, doc, fp, n, ell, pos))
-        first = np.ones(len(token), bool)
-        first[1:] = (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])
-        token, doc, n, ell, pos = (x[first] for x in (token, doc, n, ell, pos))
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(begin, len(token)))
-        several = np.repeat(size > 1, size)
-        token, doc, n, ell, pos = (x[several] for x in (token, doc, n, ell, pos))
+        order = np.lexsort((got[2], got[3], got[1], got[0]))
+        token, salt, doc, fp, size_pos, ell = (x[order] for x in got)
+        turn = np.ones(len(token), bool)
+        turn[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        first = turn.copy()
+        first[1:] |= fp[1:] != fp[:-1]
+        token, salt, doc, size_pos, ell, turn = (x[first] for x in (token, salt, doc, size_pos, ell, turn))
+        group = np.cumsum(turn) - 1
+        size = np.bincount(group)[group]
+        several = (size > 1) | (salt > 0)
+        token, salt, doc, size_pos, ell, group, size = (x[several] for x in (token, salt, doc, size_pos, ell, group, size))
         if not len(token):
             return
-        k = len(token)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), pa.array(token), pa.array(doc), pa.array(n), pa.array(ell), pa.array(pos)], ["kind", "a", "b", "n", "ell", "pos"])
-        i, j = _star(token, doc, n, ell, pos, doc, 0, rule)
+        n, pos, ell = size_pos >> 32, size_pos & 0xFFFFFFFF, ell.astype(np.int64)
+        yield rows(0, token, doc, n, pos, ell, (size > rule.hot) | (salt > 0))
+        i, j = _star(group, doc, doc, 0)
+        ok = _possible(n, pos, pos + 1, i, j, rule)
+        i, j = i[ok], j[ok]
         if len(i):
-            p = _pair_rows(doc, n, ell, i, j, rule)
-            zero = pa.array(np.zeros(p.num_rows, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(p.num_rows, np.int8)), p.column(0), p.column(1), zero, p.column(2), zero], ["kind", "a", "b", "n", "ell", "pos"])
+            a, b, least = _pair_rows(doc, _least(n, ell, i, j, rule), i, j)
+            zero = np.zeros(len(a), np.int32)
+            yield rows(1, a, b, zero, zero, least, np.zeros(len(a), bool))
 
     return run
 
 
+_PLACED = ("token", "cell", "side", "doc", "n", "ell", "pos", "hot", "component", "place", "met")
+
+
 def _across(rule: Similarity, seed: int | None):
-    """Candidate pairs of some shingles between components: of a star, or all (seed None)."""
+    """Candidate pairs of some shingles' tiles between components: of a star, or all (seed None).
+
+    place, met: how many of the document's prefix shingles up to this one, and in all, other documents have; of a
+    hot shingle only the hot ones are counted, as a pair that shares a colder one is found by that. Of a hot
+    shingle a pair is a candidate only once as many hot ones have passed as the pair must share."""
+
+    def passing(n, ell, pos, hot, place, met, doc, component, side, i, j):
+        ok = (component[i] != component[j]) & ((side[i] != side[j]) | (side[i] < 0))
+        i, j = i[ok], j[ok]
+        ok = _possible(n, pos, place, i, j, rule)
+        i, j = i[ok], j[ok]
+        least = _least(n, ell, i, j, rule)
+        ok = (np.minimum(met[i], met[j]) >= least) & (~hot[i] | (np.minimum(place[i], place[j]) >= least))
+        return i[ok], j[ok], least[ok]
 
     def run(batches):
         got = _held(batches)
         if got is None:
             return
-        token, doc, n, ell, pos, component, rank, met = got
-        order = np.lexsort((component, token))
-        token, doc, n, ell, pos, component, rank, met = (x[order] for x in (token, doc, n, ell, pos, component, rank, met))
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        part = np.flatnonzero(new | np.concatenate([[True], component[1:] != component[:-1]]))
-        part_size = np.diff(np.append(part, len(token)))
+        order = np.lexsort((got[8], got[1], got[0]))
+        token, cell, side, doc, n, ell, pos, hot, component, place, met = (x[order] for x in got)
+        n, ell, pos = n.astype(np.int64), ell.astype(np.int64), pos.astype(np.int64)
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
         group = np.cumsum(new) - 1
+        part_new = new.copy()
+        part_new[1:] |= component[1:] != component[:-1]
+        part = np.flatnonzero(part_new)
+        part_size = np.diff(np.append(part, len(token)))
         several = np.bincount(group[part])[group] > 1
-        if not several.any():
-            return
-        if seed is not None:
-            token, doc, n, ell, pos, component, rank, met = (x[several] for x in (token, doc, n, ell, pos, component, rank, met))
-            i, j = _star(token, doc, n, ell, pos, component, seed, rule, rank)
-            if len(i):
-                yield _pair_rows(doc, n, ell, i, j, rule, met)
-            return
-        # The largest component of a shingle goes last and starts no pairs, so that its own are never listed.
+        # The largest component of a group starts no pairs, so that its own are never listed.
         largest = np.zeros(group[-1] + 1, np.int64)
         np.maximum.at(largest, group[part], part_size)
-        is_largest = part_size == largest[group[part]]
+        at = np.flatnonzero(part_size == largest[group[part]])
         only = np.zeros(len(part), bool)
-        at = np.flatnonzero(is_largest)
         only[at[np.concatenate([[True], group[part[at]][1:] != group[part[at]][:-1]])]] = True
         last = np.repeat(only, part_size)
-        order = np.lexsort((last, group))
+        order = np.lexsort((n, last, group))
         order = order[several[order]]
-        doc, n, ell, pos, component, rank, met, group, last = (x[order] for x in (doc, n, ell, pos, component, rank, met, group, last))
-        end = np.searchsorted(group, group, "right")
-        count = np.where(last, 0, end - np.arange(len(group)) - 1)
-        edges = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1_000_000, 1_000_000), "right")
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for c in range(a, b, 4096):
-                d = min(b, c + 4096)
-                j = concat_ranges(np.arange(c, d) + 1, count[c:d])
-                i = np.repeat(np.arange(c, d), count[c:d])
-                use = component[i] != component[j]
-                i, j = i[use], j[use]
-                ok = _possible(n, ell, pos, i, j, rule, rank)
-                if ok.any():
-                    yield _pair_rows(doc, n, ell, i[ok], j[ok], rule, met)
+        if not len(order):
+            return
+        doc, n, ell, pos, hot, component, place, met, side, group, last = (x[order] for x in (doc, n, ell, pos, hot, component, place, met, side, group, last))
+        if seed is not None:
+            spans = [_star(group, doc, component, seed)]
+        else:
+            # Sizes of partners that an entry can have at all: a range of its group's entries in order of size.
+            key = (group.astype(np.int64) * 2 + last) << 32 | n
+            most = np.minimum(n * 100 // rule.percent, (100 + rule.percent) * (place + n - pos - 1) // rule.percent - n)
+            start, own = np.flatnonzero(~last), group.astype(np.int64) * 2 << 32
+            end = np.searchsorted(key, own[start] | np.maximum(most[start], 0), "right")
+            other = own[start] | np.int64(1) << 32
+            begin2 = np.searchsorted(key, other | rule.need(n[start]), "left")
+            end2 = np.searchsorted(key, other | np.maximum(most[start], 0), "right")
+            starts = np.concatenate([start, start])
+            first = np.concatenate([start + 1, begin2])
+            count = np.maximum(np.concatenate([end - start - 1, end2 - begin2]), 0)
+            keep = count > 0
+            starts, first, count = starts[keep], first[keep], count[keep]
+            edges = np.unique(np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1_000_000, 1_000_000), "left"))
+            edges = np.unique(np.concatenate([[0], edges, [len(starts)]])) if len(starts) else []
+            spans = ((np.repeat(starts[a:b], count[a:b]), concat_ranges(first[a:b], count[a:b])) for a, b in zip(edges[:-1], edges[1:]))
+        for i, j in spans:
+            i, j, least = passing(n, ell, pos, hot, place, met, doc, component, side, i, j)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pair_rows(doc, least, i, j)], ["a", "b", "least"])
 
     return run
 
 
-def _verify(rule: Similarity):
-    """Rows (a, salt, b, text), the text of a itself first (b null): the pairs that are linked."""
+def _set_rows(rule: Similarity):
+    """(doc, text) to (doc, its shingles)."""
 
     def run(batches):
-        pivot, own = None, None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            b = batch.column(2)
-            lone = b.is_null().to_numpy(zero_copy_only=False)
-            other = b.fill_null(0).to_numpy()
-            out_a, out_b = [], []
-            for block in blocks(batch.column(3)):
-                doc, h, n = _sets(block, rule)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                for i, row in enumerate(block.rows.tolist()):
-                    s = h[ends[i] : ends[i + 1]]
-                    if lone[row]:
-                        pivot, own = (a[row], salt[row]), s.copy()
-                        continue
-                    if pivot != (a[row], salt[row]) or not len(own) or not len(s):
-                        continue
-                    slot = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                    both = int((own[slot] == s).sum())
-                    if 100 * both >= rule.percent * (len(own) + len(s) - both):
-                        out_a.append(int(a[row]))
-                        out_b.append(int(other[row]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            for block in blocks(batch.column(1)) if batch.num_rows else ():
+                _, h, n = _sets(block, rule)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block.rows)), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))], ["doc", "tokens"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
-    """The pairs (a, b, least: a row for each shared prefix shingle) that share enough of them and are similar.
-    The partners of a travel to its text, at most `fan` to a task, so a with thousands is spread."""
-    enough = materialize(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least")).filter("shared >= least").select("a", "b"), "pairs")
-    fans = enough.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / rule.fan).cast("int").alias("tasks"))
-    salted = enough.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b")
-    partners = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
-    pivots = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt")).join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    met = partners.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(met.mapInArrow(_verify(rule), "a long, b long"), "links")
+def _with_both(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """pairs with `both`: how many of the tokens of a and b are the same, and `sizes`."""
+    one, two = (tokens.select(F.col("doc").alias(x), F.col("tokens").alias(f"_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select(*pairs.columns, F.size(F.array_intersect("_a", "_b")).alias("both"), (F.size("_a") + F.size("_b")).alias("sizes"))
+
+
+def _links(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
+    """The pairs (a, b, least) whose prefixes share enough shingles and which are similar, exactly. Only the sets of
+    documents in pairs of the first kind are made."""
+    enough = materialize(_with_both(pairs.distinct(), prefixes).filter("both >= least").select("a", "b"), "pairs")
+    wanted = enough.select(F.col("a").alias("doc")).union(enough.select("b")).distinct()
+    sets = materialize(texts.join(wanted, "doc", "left_semi").select("doc", "text").mapInArrow(_set_rows(rule), "doc long, tokens array<long>"), "sets")
+    return materialize(_with_both(enough, sets).filter(F.col("both") * (100 + rule.percent) >= F.col("sizes") * rule.percent).select("a", "b"), "links")
 
 
 def _frequent(profile: DataFrame, rule: Similarity):
     """The most frequent shingles, ascending, and their counts: at most `told` of them, to be broadcast.
     Which ones these are changes the order of shingles, so the work, not the result."""
-    counts = materialize(profile.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")), "frequent")
-    rows = most_frequent(counts, "n", rule.told).toArrow()
-    key = rows["doc_id"].to_numpy().view(np.uint64)
+    counts = materialize(profile.filter("kind = 1").groupBy("seq").agg(F.sum("n").alias("n")), "frequent")
+    rows = most_frequent(counts, "seq", "n", rule.told).toArrow()
+    key = rows["seq"].to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], rows["n"].to_numpy()[order]
 
 
+def _tiled(placed: DataFrame, sizes: DataFrame, rule: Similarity, cross: bool) -> DataFrame:
+    """Entries with cell and side. A shingle of up to `tile` entries is one cell. A larger one's entries are dealt into
+    t tiles; for a star each tile is a cell, for all pairs each two tiles are one (and each tile with itself),
+    so that a cell has 2 * tile entries or so and every pair meets in just one."""
+    big = sizes.filter(F.col("s") > rule.tile).select("token", F.ceil(F.col("s") / rule.tile).cast("int").alias("tiles"))
+    dealt = placed.join(big, "token", "left").withColumn("own", F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("tiles"))).cast("int"))
+    if not cross:
+        return dealt.withColumns({"cell": F.col("own").cast("long"), "side": F.lit(-1)}).select(*_PLACED)
+    k, own = F.col("k"), F.col("own")
+    met = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
+    cell = F.least(k, own).cast("long") * (1 << 31) + F.greatest(k, own)
+    return met.withColumns({"cell": cell, "side": F.when(k == own, -1).when(own < k, 0).otherwise(1)}).select(*_PLACED)
+
+
 def similar_components(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
     Null, empty and blank texts have no shingles and no links; fewer words than a shingle are one. Equal texts
-    are linked. Rows that share an id are one node, each with its own n_shingles. A row with a null id is
-    linked with nothing and has a null component. An empty table gives no rows. Other columns are not used.
-    Shingles are compared by 64-bit hash.
+    are linked. Rows that share an id are one node with the links of all of them, each with its own n_shingles. A row
+    with a null id is linked with nothing and has a null component. An empty table gives no rows. Other
+    columns are not used, whatever their names. Shingles are compared by 64-bit hash.
     """
     spark = docs.sparkSession
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = materialize(thin.mapInArrow(_profile(rule), _PROFILE), "profile")
-    nodes = profile.filter("kind = 0").drop("kind")
-    classes = nodes.filter("n > 0 and doc_id is not null").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    copies = nodes.join(classes, ["fp", "fp2", "n"]).filter("doc_id > a").select("a", F.col("doc_id").alias("b"))
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    thin = with_order(given, "doc_id", "text").select(F.col("seq").alias("doc"), "id", "text")  # a different doc in each row, ascending with the id
+    profile = materialize(thin.select("doc", "id", "text").mapInArrow(_profile(rule), _PROFILE), "profile")
+    nodes = profile.filter("kind = 0").select(F.col("seq").alias("doc"), "id", "n", "fp", "fp2")
+    classes = materialize(nodes.filter("n > 0 and id is not null").groupBy("fp", "fp2", "n").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "classes")
+    copies = nodes.filter("id is not null").join(classes, ["fp", "fp2", "n"]).filter("doc > a").select("a", F.col("doc").alias("b"))
+    repeated = nodes.filter("id <> doc").select("id").distinct()  # none, unless rows had to be numbered
+    same_id = nodes.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("doc").alias("a")).join(nodes, "id").filter("doc > a").select("a", F.col("doc").alias("b"))
 
     frequent = spark.sparkContext.broadcast(_frequent(profile, rule))
-    entries = thin.mapInArrow(_prefixes(rule, frequent), _PREFIX).repartition("token")
-    shared = materialize(entries.mapInArrow(_shared(rule), "kind byte, a long, b long, n int, ell int, pos int"), "shared")
-    prefix = shared.filter("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("doc_id"), "n", "ell", "pos")
-    texts = materialize(thin.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-
-    links = materialize(_links(shared.filter("kind = 1").select("a", "b", F.col("ell").alias("least")), texts, rule).unionByName(copies), "links")
-    entries_n = prefix.count()
-    own = Window.partitionBy("doc_id")  # a document's prefix
-    ranked = prefix.withColumn("rank", F.row_number().over(own.orderBy("pos"))).withColumn("met", F.count(F.lit(1)).over(own).cast("int"))
+    entries = thin.filter("id is not null").select("doc", "text").mapInArrow(_prefixes(rule, frequent), _PREFIX).repartition("token", "salt")
+    shared = materialize(entries.mapInArrow(_shared(rule), _SHARED), "shared")
+    prefix = shared.filter("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("doc"), "n", "pos", "ell", "hot")
+    own = Window.partitionBy("doc")  # a document's prefix
+    so_far = own.orderBy("pos")
+    hot = F.col("hot").cast("int")
+    counted = lambda over: F.when(F.col("hot"), F.sum(hot).over(over)).otherwise(F.count(F.lit(1)).over(over)).cast("long")
+    ranked = materialize(prefix.withColumn("place", counted(so_far)).withColumn("met", counted(own)), "ranked")
+    prefixes = materialize(ranked.groupBy("doc").agg(F.collect_list("token").alias("tokens")), "prefixes")
+    texts = materialize(thin.join(prefixes.select("doc"), "doc", "left_semi").select("doc", "text"), "texts")
+
+    first = _links(shared.filter("kind = 1").select("a", "b", F.col("ell").alias("least")), prefixes, texts, rule)
+    links = materialize(first.unionByName(copies).unionByName(same_id), "links")
+    entries_n = ranked.count()
     for seed in range(1, rule.stars + 2):
         found = materialize(connected_components(links, "a", "b"), "components")
-        placed = materialize(
-            ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "ell", "pos", F.coalesce("component", "doc_id").alias("component"), "rank", "met"), "placed"
-        )
+        placed = materialize(ranked.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
         parts = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        across = parts.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).agg(F.sum(F.col("s") * F.col("s") - F.col("q"))).first()[0] or 0
+        sizes = materialize(parts.groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).filter("s * s > q"), "sizes")
+        across = sizes.agg(F.sum(F.col("s").cast("double") * F.col("s") - F.col("q"))).first()[0] or 0
         if across == 0:
             break
-        last = across // 2 <= rule.many * entries_n or seed == rule.stars + 1
-        pairs = placed.repartition("token").mapInArrow(_across(rule, None if last else seed), _PAIRS)
-        more = _links(pairs, texts, rule)
-        links = materialize(links.unionByName(more), "links")
+        last = across / 2 <= rule.many * entries_n or seed == rule.stars + 1
+        cells = _tiled(placed.join(sizes.select("token"), "token", "left_semi"), sizes, rule, last).repartition("token", "cell")
+        pairs = cells.mapInArrow(_across(rule, None if last else seed), _PAIRS)
+        links = materialize(links.unionByName(_links(pairs, prefixes, texts, rule)), "links")
         if last:
             found = materialize(connected_components(links, "a", "b"), "components")
             break
-    return nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # A component's least doc has its least id.
+    least = found.withColumnRenamed("node", "doc")
+    ids = least.select(F.col("component").alias("doc")).distinct().join(nodes.select("doc", F.col("id").alias("component_id")), "doc").withColumnRenamed("doc", "component")
+    member = least.join(ids, "component").select("doc", "component_id")
+    return nodes.join(member, "doc", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def brute_force(docs: list[tuple[int, str | None]], words: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:
-    """The definition over all pairs, for tests: n_shingles and component_id by document."""
+def brute_force(docs: list[tuple[int | None, str | None]], words: int = 5, percent: int = 80) -> list[tuple[int | None, int, int | None]]:
+    """The definition over all pairs of rows, for tests: id, n_shingles and component_id of each row, in their order."""
     import re
 
-    sets = {}
-    for doc, text in docs:
+    sets = []
+    for _, text in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[doc] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
-    root = {d: d for d in sets}
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
+    root = {d: d for d, _ in docs}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for i, x in enumerate(ids):
-        for y in ids[i + 1 :]:
-            both = len(sets[x] & sets[y])
-            if sets[x] and sets[y] and 100 * both >= percent * len(sets[x] | sets[y]):
+    rows = [(d, s) for (d, _), s in zip(docs, sets) if d is not None and s]
+    for i, (x, one) in enumerate(rows):
+        for y, two in rows[i + 1 :]:
+            if 100 * len(one & two) >= percent * len(one | two):
                 a, b = find(x), find(y)
                 root[max(a, b)] = min(a, b)
-    return {d: (len(sets[d]), find(d)) for d in ids}
+    return [(d, len(s), None if d is None else find(d)) for (d, _), s in zip(docs, sets)]

@@ -339,7 +339,7 @@ def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
     few = {(r["kind"], r["key"]): r["n"] for r in counted.filter("kind > 0").collect()}  # at most 258 rows
     ends = few.get((2, 0), 0)
     distinct, words = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    head = most_frequent(tokens, "n", rule.head).toArrow()
+    head = most_frequent(tokens, "token", "n", rule.head).toArrow()
     key, count = head["token"].to_numpy().view(np.uint64), head["n"].to_numpy()
     order = np.lexsort((key, -count))
     key, count = key[order], count[order]

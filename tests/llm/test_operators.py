@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, extract, jaccard, mixing, packing, quality, repeats, shards, tokens, urls
-from quillgraph.llm.common import ship
+from quillgraph.llm.common import most_frequent, ship
+from quillgraph.llm.components import connected_components
 from quillgraph.llm.queries import TOKENIZER
 from quillgraph.llm.suffix import Memory, suffix_array
 
@@ -66,14 +67,67 @@ def test_suffix_dedup(spark):
     assert sorted(r["n_removed"] for r in twice) == [0, 1, 150] or sorted(r["n_removed"] for r in twice)[0] == 0
 
 
-def test_jaccard(spark):
-    docs = corpus(3, 120)
-    want = jaccard.brute_force(docs)
-    for rule in (jaccard.Similarity(), dataclasses.replace(jaccard.Similarity(), lengthen=(0, 2), stars=1, fan=3, many=0)):
-        assert {r[0]: (r[1], r[2]) for r in jaccard.similar_components(frame(spark, docs), rule).collect()} == want
+JACCARD_RULES = ({"worth": 0, "stars": 1, "many": 0, "hot": 2, "tile": 4}, {"worth": 1, "stars": 1, "many": 10**9, "hot": 1, "told": 10})
+
+
+def near_copies(seed, n=160):
+    """Variants of a text that is not among them, each with some words changed, so that most pairs fall short."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(400)}" for _ in range(70)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1, 2])] = [r.choice(["x", "y", f"u{i}"])]
+        out.append((1000 + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("change", JACCARD_RULES)
+def test_jaccard(spark, change):
+    rule = dataclasses.replace(jaccard.Similarity(), **change)
+    docs = corpus(3, 120) + near_copies(1)
+    got = jaccard.similar_components(frame(spark, docs), rule).collect()
+    assert sorted(map(tuple, got)) == sorted(jaccard.brute_force(docs))
+
+
+def test_jaccard_odd_rows(spark):
     assert jaccard.similar_components(frame(spark, [])).count() == 0
-    odd = jaccard.similar_components(frame(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")])).collect()
-    assert sorted(map(str, odd)) == ["Row(doc_id=1, n_shingles=2, component_id=1)"] * 2 + ["Row(doc_id=None, n_shingles=2, component_id=None)"]
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, long), (3, long + " end"), (4, ""), (5, None), (6, " \t")]
+    # One id with different texts: links of either text count, whatever the order of rows.
+    one, two = ("one two three four five six seven eight nine ten eleven twelve".split(), "p q r s t u v w x y z aa bb cc".split())
+    rows += [(10, " ".join(one)), (10, " ".join(two)), (11, " ".join(one[:-1])), (12, " ".join(two[1:])), (13, "none of these at all here")]
+    docs = frame(spark, [(*x, "e", 1, "b", 0) for x in rows], "doc_id long, text string, _row string, seq long, fp string, `a.b` long")
+    got = sorted(map(tuple, jaccard.similar_components(docs).collect()), key=repr)
+    assert got == sorted(jaccard.brute_force(rows), key=repr)
+    assert {d: c for d, _, c in got}[12] == 10 and {d: c for d, _, c in got}[3] == 2
+
+
+def test_most_frequent(spark):
+    for counts in ([5] * 50, [200_000 + i for i in range(40)], [1, 2, 3], [], [10**12, 1, 1, 1, 1, 7, 7]):
+        table = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "key long, n long")
+        for limit in (0, 1, 3, 6, 45, 100):
+            got = [r["n"] for r in most_frequent(table, "key", "n", limit).collect()]
+            assert sorted(got, reverse=True) == sorted(counts, reverse=True)[:limit]
+
+
+def test_components(spark):
+    """Chains, cycles, hubs and repeated edges, by one task and by rounds."""
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 201 + i) for i in range(30)] + [(200, 201)] * 3 + [(7, 7), (300, 301)]
+    edges += [(400 + r.randrange(60), 400 + r.randrange(60)) for _ in range(40)]
+    r.shuffle(edges)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    table = frame(spark, edges, "a long, b long")
+    for local in (0, 2_000_000):
+        assert {x["node"]: x["component"] for x in connected_components(table, "a", "b", local_edges=local).collect()} == root
+    assert connected_components(table.limit(0), "a", "b", local_edges=0).count() == 0
 
 
 def test_decontamination(spark):
