@@ -147,7 +147,8 @@ def contain(docs: DataFrame, items: DataFrame, rule: Containment = Containment()
     strings) and spans (maximal runs of hit words).
 
     Null and empty texts have no words and no hits; an item without words has no window. Equal items, and
-    equal documents, are each counted. Null item ids count as the id ''. Without items nothing is hit.
+    equal documents, are each counted. Null item ids count as the id ''. Without items nothing is hit. Columns _dc
+    and _text of docs are replaced; any others stay.
     """
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(_index(x, rule)) for x in _item_blocks(items, item_id, item_text, rule)]

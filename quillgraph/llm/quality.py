@@ -129,6 +129,21 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_rejected", kept.alias("kept"))
 
 
+def kept_documents(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' columns, whatever their names.
+
+    Each row is judged where it is and written once, without its columns if it fails by itself; then the rejected
+    hosts are taken out, so texts are shuffled only where the rejected hosts are too many to be broadcast.
+    Nulls, repeated rows and empty tables as in judge().
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    thin = docs.select(row.alias("_row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").alias("text"))
+    facts = document_facts(thin, rules)
+    judged = materialize(facts.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "host", "base_failed"), "judged")
+    rejected = host_verdicts(judged, "host", rules).filter("host_rejected").select("host")
+    return judged.filter(~F.col("base_failed")).join(rejected, "host", "left_anti").select("_row.*")
+
+
 ORACLE_SQL = r"""
 WITH w AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS text,

@@ -67,7 +67,8 @@ class Recent(dict):
 
 
 class Encoder:
-    """Ids of whole texts, special tokens' strings being ordinary text, as little-endian 32-bit integers.
+    """Ids of whole texts, as the library's defaults give them (so a special token's string is that token), as
+    little-endian 32-bit integers. No special token's string may hold white space, as texts are cut there.
 
     Words, with or without a space before them, are encoded by the tokenizer once and kept for a while.
     Texts with other white space than single spaces and line feeds are cut at the spaces that are safe.
@@ -79,7 +80,8 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        if odd := [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if _ODD.search(x.content) or x.lstrip or x.rstrip or x.single_word]:
+            raise ValueError(f"texts can't be cut safely with the special tokens {odd}")
         self.tokenize = self.tokenizer.model.tokenize
         self.line = self._any("\n")
         # The byte-level form of the letters of simple words.

@@ -154,10 +154,9 @@ def test_mixing_base_scores(spark):
 def test_tokens_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    docs = corpus(6) + [(200, "a  b\t<|endoftext|> it's 12\n\nx"), (201, " lead nbsp ")]
+    docs = corpus(6) + [(200, "a  b\t<|endoftext|> it's 12\n\nx"), (202, "a <|endoftext|> b"), (203, "x<|endoftext|>y\n<|endoftext|>\nz  <|endoftext|> w <|endoftext|>"), (201, " lead nbsp ")]
     tokens.write_orc(frame(spark, docs), f"file://{tmp_path}/t", TOKENIZER)
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
     want = {d: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for d, t in docs}
     assert {r[0]: r[1] for r in tokens.read_orc(spark, f"file://{tmp_path}/t").collect()} == want
     assert [r[0] for r in tokens.read_orc(spark, f"file://{tmp_path}/t", 20, 20).collect()] == [20]
