@@ -27,28 +27,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that fail the rules, or whose host fails as a whole, go. Each row is judged, those with a
     null or repeated id too."""
     ship(spark)
-    keyed = docs.withColumn("_key", F.struct("doc_id", "source", F.xxhash64("text").alias("text")))
-    judged = quality.judge(keyed, id_col="_key")
-    rejected = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct()
-    return _columns(keyed.join(rejected, "_key", "left_anti"))
+    return quality.kept_documents(_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays; of rows with equal id and
-    text one stays. Rows with a null id are linked with nothing, and stay."""
+    text one stays. Rows with a null id are linked with nothing, and all stay."""
     ship(spark)
+    docs = _columns(docs)
     found = materialize(jaccard.similar_components(docs), "near")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    return _columns(docs.join(gone, "doc_id", "left_anti"))
+        left = left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+    return _columns(left)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that an earlier document (or place) holds go. A cut within a character drops the
     character's other bytes; a document of which nothing is left goes. n_chars is counted anew."""
     ship(spark)
-    found = repeats.remove_repeats(docs)
+    found = repeats.remove_repeats(_columns(docs))
     # Of a cut text, bytes that are no character any more go: the ends of cut characters.
     whole = F.col("kept").cast("string")
     text = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
@@ -59,7 +58,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    found = decontaminate.contain(docs, table(spark, sf_dir, "benchmark"))
+    ship(spark)
+    found = decontaminate.contain(_columns(docs), table(spark, sf_dir, "benchmark"))
     return _columns(found.filter("_dc.n_hit = 0"))
 
 
@@ -77,7 +77,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: None yet. tests/llm/test_pipeline.py holds near_duplicates and repeated_passages against brute force, and decontamination in part.
+#: SQL can't express the near duplicates' components, byte spans and packing; tests/llm/test_pipeline.py holds each stage, and run(), against brute force.
 ORACLE_SQL = None
 
 
