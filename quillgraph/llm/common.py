@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +57,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Gathers the paths of the tables that materialize() writes inside, for the caller to delete() them once
+    nothing reads them any more; those written with keep=True belong to the next scope outside."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    made: list[str] = []
+    stack.append(made)
+    try:
+        yield made
+    finally:
+        stack.remove(made)
+
+
+def materialize(df: DataFrame, name: str, by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back, which cuts its lineage: a lost
-    executor costs a reread of files, never a recomputation."""
+    executor costs a reread of files, never a recomputation. keep: as the result of a scratch() scope."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    stack = _scopes.__dict__.get("stack", [])
+    if len(stack) > keep:
+        stack[-1 - keep].append(path)
     writer = df.write
     if by:
         writer = writer.partitionBy(*by)

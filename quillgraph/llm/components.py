@@ -76,7 +76,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60,
     ends.mapInArrow(_contract, schema).write.parquet(path)
     now = spark.read.schema(schema).parquet(path)
     if now.count() <= local_edges:
-        return _nodes(materialize(now.coalesce(1).mapInArrow(_contract, schema), "stars"))
+        found = _nodes(materialize(now.coalesce(1).mapInArrow(_contract, schema), "stars"))
+        delete(spark, path)
+        return found
     state = _state(now)
     for _ in range(max_rounds):
         if state[0] == 0:

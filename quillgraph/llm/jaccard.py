@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import materialize, most_frequent
+from quillgraph.llm.common import delete, materialize, most_frequent, scratch
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.kernels import NOT_SPACE, blocks, concat_ranges, mix
 from quillgraph.llm.repeats import with_order
@@ -436,6 +436,14 @@ def similar_components(docs: DataFrame, rule: Similarity = Similarity(), id_col:
     with a null id is linked with nothing and has a null component. An empty table gives no rows. Other
     columns are not used, whatever their names. Shingles are compared by 64-bit hash.
     """
+    with scratch() as made:
+        found = materialize(_components(docs, rule, id_col, text), "similar", keep=True)
+    for path in made:
+        delete(docs.sparkSession, path)
+    return found
+
+
+def _components(docs: DataFrame, rule: Similarity, id_col: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     thin = with_order(given, "doc_id", "text").select(F.col("seq").alias("doc"), "id", "text")  # a different doc in each row, ascending with the id

@@ -18,6 +18,10 @@ from quillgraph.llm.common import SPACE_CLASS, let, materialize, words
 SYMBOLS = "#*$%&|<>"
 
 
+#: Rejected hosts (a DNS name has 253 characters at most) that are broadcast, at most.
+BROADCAST_HOSTS = 100_000
+
+
 @dataclass(frozen=True)
 class QualityRules:
     min_words: int = 50
@@ -133,14 +137,16 @@ def kept_documents(docs: DataFrame, rules: QualityRules = QualityRules(), text:
     """The rows of docs that judge() keeps, with docs' columns, whatever their names.
 
     Each row is judged where it is and written once, without its columns if it fails by itself; then the rejected
-    hosts are taken out, so texts are shuffled only where the rejected hosts are too many to be broadcast.
+    hosts are taken out. They are broadcast if they are at most BROADCAST_HOSTS; beyond that texts are shuffled.
     Nulls, repeated rows and empty tables as in judge().
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     thin = docs.select(row.alias("_row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{text}`").alias("text"))
     facts = document_facts(thin, rules)
     judged = materialize(facts.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "host", "base_failed"), "judged")
-    rejected = host_verdicts(judged, "host", rules).filter("host_rejected").select("host")
+    rejected = materialize(host_verdicts(judged, "host", rules).filter("host_rejected").select("host"), "rejected")
+    if rejected.count() <= BROADCAST_HOSTS:
+        rejected = F.broadcast(rejected)
     return judged.filter(~F.col("base_failed")).join(rejected, "host", "left_anti").select("_row.*")
 
 

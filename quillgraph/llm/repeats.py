@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import delete, materialize, scratch
 from quillgraph.llm.kernels import BYTE_VALUES, RangeHash, blocks, concat_ranges
 from quillgraph.llm.suffix import Memory, suffix_array
 
@@ -344,6 +344,15 @@ def _sort_shard(rule: Repeats):
 def repeated_windows(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     """seq, start, windows: runs of window starts, in bytes, that repeat an earlier window. docs has seq
     (a different long in each row; the order of documents) and text."""
+    # Written before the caller joins it with the texts, so that no shuffle of texts or segments is still on disk then.
+    with scratch() as made:
+        found = materialize(_windows(docs, rule), "repeats", keep=True)
+    for path in made:
+        delete(docs.sparkSession, path)
+    return found
+
+
+def _windows(docs: DataFrame, rule: Repeats) -> DataFrame:
     by = ["key", "kind", F.when(F.col("kind") == 1, F.col("seq"))]
     found = materialize(docs.select("seq", "text").mapInArrow(_cut(rule), _ROW).repartition(*by).mapInArrow(_meet(rule), _ROW), "segments")
 
@@ -354,8 +363,7 @@ def repeated_windows(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     repeats = found.filter("kind = 1").unionByName(pieces(0).repartition("key").sortWithinPartitions("key").mapInArrow(_sort_shard(rule), _ROW))
     if not found.filter("kind = 2").isEmpty():
         repeats = repeats.unionByName(pieces(2).mapInArrow(_split(rule), _ROW).repartition(*by).mapInArrow(_meet(rule), _ROW).filter("kind = 1"))
-    # Written before the caller joins it with the texts, so that no shuffle of texts or segments is still on disk then.
-    return materialize(repeats.select("seq", "start", "windows"), "repeats")
+    return repeats.select("seq", "start", "windows")
 
 
 def with_order(docs: DataFrame, id_col: str, text: str) -> DataFrame:
