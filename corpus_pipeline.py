@@ -3,37 +3,67 @@ decontamination, packing. Each stage is one of the operators of quillgraph.llm.
 
 A stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame;
 run() writes it as Parquet to the shared folder and rereads it as the next stage's docs. All but the
-last return the columns of documents.
+last return the columns of documents. When a stage begins, the tables that earlier stages' results were read
+from are deleted, as those results have been written by then; not those that docs itself still reads.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, jaccard, packing, quality, repeats, tokens
-from quillgraph.llm.common import materialize, ship, table
+from quillgraph.llm.common import delete, materialize, scratch, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: By place of the stage: paths of the tables that its last results read.
+_left: dict[int, list[str]] = {}
+
+
+def _stage(place: int):
+    def wrap(f):
+        @wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            ship(spark)
+            earlier = [p for k in _left if k < place for p in _left[k]]
+            used = "\n".join(docs.inputFiles()) if earlier else ""
+            for path in earlier:
+                if path.split(":")[-1] not in used:
+                    delete(spark, path)
+            for k in _left:
+                if k < place:
+                    _left[k] = [p for p in _left[k] if p.split(":")[-1] in used]
+            with scratch() as made:
+                out = f(spark, docs, sf_dir)
+            _left[place] = _left.get(place, []) + made
+            return out
+
+        return run
+
+    return wrap
+
+
 def _columns(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
+@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose host fails as a whole, go. Each row is judged, those with a
     null or repeated id too."""
-    ship(spark)
     return quality.kept_documents(_columns(docs))
 
 
+@_stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest id stays; of rows with equal id and
     text one stays. Rows with a null id are linked with nothing, and all stay."""
-    ship(spark)
     docs = _columns(docs)
     found = materialize(jaccard.similar_components(docs), "near")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
@@ -43,10 +73,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _columns(left)
 
 
+@_stage(2)
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that an earlier document (or place) holds go. A cut within a character drops the
     character's other bytes; a document of which nothing is left goes. n_chars is counted anew."""
-    ship(spark)
     found = repeats.remove_repeats(_columns(docs))
     # Of a cut text, bytes that are no character any more go: the ends of cut characters.
     whole = F.col("kept").cast("string")
@@ -56,16 +86,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _columns(kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("_n")).otherwise(F.length("text").cast("long"))))
 
 
+@_stage(3)
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    ship(spark)
     found = decontaminate.contain(_columns(docs), table(spark, sf_dir, "benchmark"))
     return _columns(found.filter("_dc.n_hit = 0"))
 
 
+@_stage(4)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing plan of the documents' tokens: one row for each piece."""
-    ship(spark)
     return packing.pack(materialize(tokens.token_lengths(docs, TOKENIZER), "lengths"), F.col("n_tokens"))
 
 
