@@ -65,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of similar documents the one with the smallest id stays; of rows with equal id and
     text one stays. Rows with a null id are linked with nothing, and all stay."""
     docs = _columns(docs)
-    found = materialize(jaccard.similar_components(docs), "near")
+    found = jaccard.similar_components(docs)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
@@ -113,6 +113,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        for path in before:
+            delete(spark, path)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
