@@ -29,7 +29,7 @@ class Memory:
     #: Symbols of a string of names that is sorted in memory.
     names: int = 8 << 20
     #: Bytes that a queue holds in memory.
-    queue: int = 64 << 20
+    queue: int = 4 << 20
 
 
 class SymbolQueue:
