@@ -90,13 +90,15 @@ def document_terms(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return docs.select("path", T.terms(F.concat_ws(" ", *columns)).alias("terms"))
 
 
-def find_duplicates(drafts: DataFrame, docs: DataFrame, min_score: int = 20) -> DataFrame:
+def find_duplicates(drafts: DataFrame, docs: DataFrame, min_score: int = 20, stored: DataFrame | None = None) -> DataFrame:
     """draft_id, path, score of notes like a draft (draft_id, content): +70 for the same title, +50 for the
     same name, up to 60 for shared terms. Drafts are few; their terms meet the notes' terms by equality,
-    and only what meets goes on."""
+    and only what meets goes on. stored: rows of path, title and terms."""
     title = T.title_key(T.extract_title(F.col("content")))
     wanted = drafts.select("draft_id", title.alias("title_key"), T.terms(F.col("content")).alias("terms"))
-    of_doc = docs.select("path", T.title_key(F.col("title")).alias("doc_key"), T.fold(T.stem(F.col("path"))).alias("name"), T.terms(F.concat_ws(" ", "path_text", "title", "headings", "tags", "tasks", "body")).alias("doc_terms"))
+    if stored is None:
+        stored = docs.select("path", "title", T.terms(F.concat_ws(" ", "path_text", "title", "headings", "tags", "tasks", "body")).alias("terms"))
+    of_doc = stored.select("path", T.title_key(F.col("title")).alias("doc_key"), T.fold(T.stem(F.col("path"))).alias("name"), F.col("terms").alias("doc_terms"))
     sized = of_doc.select("path", F.size("doc_terms").alias("doc_n"), F.explode("doc_terms").alias("term"))
     asked = wanted.select("draft_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     shared = sized.join(asked, "term").groupBy("draft_id", "path").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("doc_n").alias("doc_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgraph.functions import text as T
 
@@ -38,14 +39,20 @@ def _fenced_spans(lines: Column, after: Column) -> Column:
     return F.aggregate(marks, start, step, finish)
 
 
-def md_lines(notes: DataFrame) -> DataFrame:
-    """path, line, text, in_frontmatter, fenced."""
-    parsed = notes.select("path", T.lines(F.col("text")).alias("lines"))
+def _split(notes: DataFrame, *keep: str) -> DataFrame:
+    """path, lines, fm_end (the last line of the frontmatter, 0 for none) and spans of fenced lines."""
+    parsed = notes.select(*keep, T.lines(F.col("text")).alias("lines"))
     opens = F.coalesce(F.get("lines", F.lit(0)).rlike(DELIMITER), F.lit(False))
     close = F.try_element_at(F.filter(F.transform("lines", lambda x, i: F.when((i > 0) & x.rlike(DELIMITER), i + 1)), lambda i: i.isNotNull()), F.lit(1))
     parsed = parsed.withColumn("fm_end", F.when(opens, F.coalesce(close, F.size("lines"))).otherwise(0))
-    parsed = parsed.withColumn("spans", _fenced_spans(F.col("lines"), F.col("fm_end")))
-    exploded = parsed.select("path", "fm_end", "spans", F.posexplode("lines").alias("at", "text"))
+    # The frontmatter's lines between its delimiters; all others where it isn't closed.
+    parsed = parsed.withColumn("fm", F.when(opens, F.slice("lines", 2, F.greatest(F.coalesce(close - 1, F.size("lines")) - 1, F.lit(0)))))
+    return parsed.withColumn("spans", _fenced_spans(F.col("lines"), F.col("fm_end")))
+
+
+def md_lines(notes: DataFrame) -> DataFrame:
+    """path, line, text, in_frontmatter, fenced."""
+    exploded = _split(notes, "path").select("path", "fm_end", "spans", F.posexplode("lines").alias("at", "text"))
     line = F.col("at") + 1
     return exploded.select(
         "path",
@@ -61,41 +68,80 @@ def body_lines(notes: DataFrame) -> DataFrame:
     return md_lines(notes).filter(~F.col("in_frontmatter") & ~F.col("fenced")).select("path", "line", "text")
 
 
-def headings(notes: DataFrame) -> DataFrame:
-    return body_lines(notes).filter(F.col("text").rlike(HEADING)).select(
-        "path", "line", F.length(F.regexp_extract("text", HEADING, 1)).alias("level"), T.strip(F.regexp_extract("text", HEADING, 2)).alias("heading")
+#: The columns that parse() adds.
+PARSED = ("heading_rows", "task_rows", "link_rows", "tag_rows", "metadata_rows")
+
+
+def parse(notes: DataFrame) -> DataFrame:
+    """notes with one array of rows for each kind of fact: headings, tasks, links, tags, metadata. All facts of a note
+    come from one pass over its lines, in its own row; nothing is shuffled. Columns of these names are replaced."""
+    kept = [c for c in notes.columns if c not in PARSED]
+    lines = _split(notes.withColumn("_note", F.struct(*kept)), "_note")
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text")))
+    open_ = F.filter(numbered, lambda x: (x["line"] > F.col("fm_end")) & ~F.exists("spans", lambda s: (x["line"] >= s["a"]) & (x["line"] <= s["b"])))
+    body = lines.select("_note", "fm", open_.alias("body"))
+
+    def link(x, raw, seq):
+        parts = F.split(T.strip(raw), r"\|", 2)
+        return F.struct(x["line"].alias("line"), seq.cast("int").alias("seq"), T.strip(F.split(F.get(parts, F.lit(0)), "#", 2)[0]).alias("target"), T.strip(F.get(parts, F.lit(1))).alias("alias"))
+
+    found = body.select(
+        "_note",
+        F.transform(F.filter("body", lambda x: x["text"].rlike(HEADING)), lambda x: F.struct(x["line"].alias("line"), F.length(F.regexp_extract(x["text"], HEADING, 1)).alias("level"), T.strip(F.regexp_extract(x["text"], HEADING, 2)).alias("heading"))).alias(PARSED[0]),
+        F.transform(F.filter("body", lambda x: x["text"].rlike(TASK)), lambda x: F.struct(x["line"].alias("line"), (F.lower(F.regexp_extract(x["text"], TASK, 1)) == "x").alias("done"), T.strip(F.regexp_extract(x["text"], TASK, 2)).alias("task"))).alias(PARSED[1]),
+        F.flatten(F.transform(F.filter("body", lambda x: x["text"].contains("[[")), lambda x: F.transform(F.regexp_extract_all(x["text"], F.lit(LINK), F.lit(1)), lambda raw, i: link(x, raw, i)))).alias(PARSED[2]),
+        F.concat(
+            F.coalesce(_frontmatter_tags(F.col("fm")), F.array().cast(_TAGS)),
+            F.flatten(F.transform(F.filter("body", lambda x: x["text"].contains("#")), lambda x: F.transform(F.regexp_extract_all(x["text"], F.lit(TAG), F.lit(1)), lambda t, i: F.struct(x["line"].alias("line"), i.cast("int").alias("seq"), F.concat(F.lit("#"), t).alias("tag"))))),
+        ).alias(PARSED[3]),
+        F.coalesce(_metadata(F.col("fm")), F.array().cast(_ROWS)).alias(PARSED[4]),
     )
+    return found.select("_note.*", *PARSED)
+
+
+def _rows(notes: DataFrame, column: str) -> DataFrame:
+    """The rows of one kind, of parsed notes or of such that are parsed for it."""
+    parsed = notes if column in notes.columns else parse(notes.select("path", "text"))
+    return parsed.select("path", F.inline(column))
+
+
+def headings(notes: DataFrame) -> DataFrame:
+    """path, line, level, heading."""
+    return _rows(notes, PARSED[0])
 
 
 def tasks(notes: DataFrame) -> DataFrame:
-    return body_lines(notes).filter(F.col("text").rlike(TASK)).select(
-        "path", "line", (F.lower(F.regexp_extract("text", TASK, 1)) == "x").alias("done"), T.strip(F.regexp_extract("text", TASK, 2)).alias("task")
-    )
+    """path, line, done, task."""
+    return _rows(notes, PARSED[1])
 
 
 def wikilinks(notes: DataFrame) -> DataFrame:
     """path, line, seq, target, alias; embeds are no links."""
-    raw = body_lines(notes).select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(LINK), F.lit(1))).alias("seq", "raw"))
-    parts = F.split(T.strip(F.col("raw")), r"\|", 2)
-    target = T.strip(F.split(F.get(parts, F.lit(0)), "#", 2)[0])
-    return raw.select("path", "line", F.col("seq").cast("int"), target.alias("target"), T.strip(F.get(parts, F.lit(1))).alias("alias"))
+    return _rows(notes, PARSED[2])
+
+
+def tags(notes: DataFrame) -> DataFrame:
+    """path, line, seq, tag: of the frontmatter and the body, with #."""
+    return _rows(notes, PARSED[3])
 
 
-def _frontmatter(notes: DataFrame) -> DataFrame:
-    parsed = notes.select("path", T.lines(F.col("text")).alias("lines")).filter(F.coalesce(F.get("lines", F.lit(0)).rlike(DELIMITER), F.lit(False)))
-    close = F.try_element_at(F.filter(F.transform("lines", lambda x, i: F.when((i > 0) & x.rlike(DELIMITER), i)), lambda i: i.isNotNull()), F.lit(1))
-    return parsed.select("path", F.slice("lines", 2, F.greatest(F.coalesce(close, F.size("lines")) - 1, F.lit(0))).alias("fm"))
+def frontmatter(notes: DataFrame) -> DataFrame:
+    """path, key, value: one row for each value."""
+    return _rows(notes, PARSED[4])
 
 
 def _clean(c: Column) -> Column:
     return F.regexp_replace(T.strip(c), "^['\"]+|['\"]+$", "")
 
 
-def frontmatter(notes: DataFrame) -> DataFrame:
-    """path, key, value: one row for each value, by a fold over the frontmatter's lines, as what `- x` means
-    depends on the key that is open."""
-    rows = "array<struct<key:string,value:string>>"
-    start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast(rows).alias("out"))
+_ROWS = "array<struct<key:string,value:string>>"
+_TAGS = "array<struct<line:int,seq:int,tag:string>>"
+
+
+def _metadata(fm: Column) -> Column:
+    """key, value rows, one for each value, by a fold over the frontmatter's lines, as what `- x` means depends on
+    the key that is open."""
+    start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast(_ROWS).alias("out"))
 
     def step(acc, line):
         s = T.strip(line)
@@ -115,11 +161,10 @@ def frontmatter(notes: DataFrame) -> DataFrame:
             .otherwise(new(none, F.concat(acc["out"], F.transform(values, lambda v: F.struct(key.alias("key"), v.alias("value"))))))
         )
 
-    folded = _frontmatter(notes).select("path", F.aggregate("fm", start, step, lambda acc: acc["out"]).alias("rows"))
-    return folded.select("path", F.inline("rows"))
+    return F.aggregate(fm, start, step, lambda acc: acc["out"])
 
 
-def _frontmatter_tags(notes: DataFrame) -> DataFrame:
+def _frontmatter_tags(fm: Column) -> Column:
     rows = "array<struct<line:int,raw:string>>"
     start = F.struct(F.lit(False).alias("open"), F.lit(1).alias("line"), F.array().cast(rows).alias("out"))
 
@@ -137,26 +182,22 @@ def _frontmatter_tags(notes: DataFrame) -> DataFrame:
             .otherwise(new(F.lit(False), acc["out"]))
         )
 
-    folded = _frontmatter(notes).select("path", F.explode(F.aggregate("fm", start, step, lambda acc: acc["out"])).alias("r"))
-    words = folded.select("path", F.col("r.line").alias("line"), F.posexplode(F.split("r.raw", rf"[,{T.SPACE}]+")).alias("seq", "w"))
-    bare = F.regexp_replace("w", "^['\"]+|['\"]+$", "")
     full = rf"^#?([{_LETTER}0-9][\p{{L}}\p{{N}}_/-]*)$"
-    return words.filter(bare.rlike(full)).select("path", "line", F.col("seq").cast("int"), F.concat(F.lit("#"), F.regexp_extract(bare, full, 1)).alias("tag"))
+    bare = lambda w: F.regexp_replace(w, "^['\"]+|['\"]+$", "")
 
+    def words(r):
+        each = F.transform(F.split(r["raw"], rf"[,{T.SPACE}]+"), lambda w, i: F.struct(r["line"].alias("line"), i.cast("int").alias("seq"), bare(w).alias("tag")))
+        return F.transform(F.filter(each, lambda x: x["tag"].rlike(full)), lambda x: F.struct(x["line"].alias("line"), x["seq"].alias("seq"), F.concat(F.lit("#"), F.regexp_extract(x["tag"], full, 1)).alias("tag")))
 
-def tags(notes: DataFrame) -> DataFrame:
-    """path, line, seq, tag: of the frontmatter and the body, with #."""
-    body = body_lines(notes).select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(TAG), F.lit(1))).alias("seq", "t"))
-    return _frontmatter_tags(notes).unionByName(body.select("path", "line", F.col("seq").cast("int"), F.concat(F.lit("#"), F.col("t")).alias("tag")))
+    return F.flatten(F.transform(F.aggregate(fm, start, step, lambda acc: acc["out"]), words))
 
 
 def sections(notes: DataFrame) -> DataFrame:
     """path, line, heading, last_line: each heading's section up to the next heading of its level or above
-    (null: the end). Per note: the headings are one array, as a section depends on all later ones."""
-    found = headings(notes).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "level", "heading"))).alias("hs"))
-    each = found.select("path", "hs", F.posexplode("hs").alias("i", "h"))
-    later = F.filter(F.slice("hs", F.col("i") + 2, F.size("hs")), lambda x: x["level"] <= F.col("h")["level"])
-    return each.select("path", F.col("h.line").alias("line"), F.col("h.heading").alias("heading"), (F.try_element_at(later, F.lit(1))["line"] - 1).alias("last_line"))
+    (null: the end). From a note's end backwards, the nearest heading of each level so far."""
+    later = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("line"))).over(later)) for k in range(1, 7)]
+    return headings(notes).select("path", "line", "heading", (F.least(*nearest) - 1).alias("last_line"))
 
 
 def read_section(notes: DataFrame, section: str) -> DataFrame:
@@ -190,17 +231,11 @@ def umbrella_document() -> Column:
 
 
 def search_docs(notes: DataFrame) -> DataFrame:
-    """path, path_text, title (the file's stem), headings, tags, tasks, body: one aggregate for each fact."""
-
-    def joined(facts: DataFrame, value: str, name: str, by: str, order: tuple[str, ...]) -> DataFrame:
-        sorted_ = F.array_sort(F.collect_list(F.struct(*order, value)))
-        return facts.groupBy("path").agg(F.array_join(F.transform(sorted_, lambda x: x[value]), by).alias(name))
-
-    out = notes.select("path", F.col("path").alias("path_text"), T.stem(F.col("path")).alias("title"), F.col("text").alias("body"))
-    for facts, value, name, by, order in (
-        (headings(notes), "heading", "headings", "\n", ("line",)),
-        (tags(notes), "tag", "tags", " ", ("line", "seq")),
-        (tasks(notes), "task", "tasks", "\n", ("line",)),
-    ):
-        out = out.join(joined(facts, value, name, by, order), "path", "left")
-    return out.select("path", "path_text", "title", *[F.coalesce(c, F.lit("")).alias(c) for c in ("headings", "tags", "tasks")], "body")
+    """path, path_text, title (the file's stem), headings, tags, tasks, body: each note's facts where they are."""
+    parsed = notes if PARSED[0] in notes.columns else parse(notes.select("path", "text"))
+    joined = lambda column, value, by: F.array_join(F.transform(column, lambda x: x[value]), by)
+    return parsed.select(
+        "path", F.col("path").alias("path_text"), T.stem(F.col("path")).alias("title"),
+        joined(PARSED[0], "heading", "\n").alias("headings"), joined(PARSED[3], "tag", " ").alias("tags"), joined(PARSED[1], "task", "\n").alias("tasks"),
+        F.col("text").alias("body"),
+    )

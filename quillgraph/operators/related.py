@@ -11,7 +11,7 @@ from quillgraph.operators.links import backlinks
 from quillgraph.operators.roles import path_role
 
 
-def lexical_pool(docs: DataFrame, note: str, index: DataFrame, pool: int = 40) -> DataFrame:
+def lexical_pool(docs: DataFrame, note: str, index: DataFrame, length: DataFrame, pool: int = 40) -> DataFrame:
     """path, overlap (sorted shared terms) of the best lexical candidates: any of the note's first eight search
     terms by BM25, the first `pool` of them."""
     terms = T.search_terms(F.concat_ws(" ", "title", "headings", "tags"))
@@ -22,12 +22,12 @@ def lexical_pool(docs: DataFrame, note: str, index: DataFrame, pool: int = 40) -
     if len(mine) < 2 or not tokens:
         return docs.limit(0).select("path", F.array().cast("array<string>").alias("overlap"))
     wanted = S.phrases(docs.sparkSession, tokens)
-    best = S.bm25(index, docs, wanted, False).filter(F.col("path") != note).orderBy("score", "path").limit(pool)
+    best = S.bm25(index, length, docs, wanted, False).filter(F.col("path") != note).orderBy("score", "path").limit(pool)
     shared = F.array_sort(F.array_intersect(terms, F.array(*[F.lit(x) for x in mine])))
     return best.join(docs, "path").select("path", shared.alias("overlap"))
 
 
-def related(note: str, notes: DataFrame, docs: DataFrame, resolved: DataFrame, tags: DataFrame, canonical_map: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame:
+def related(note: str, notes: DataFrame, docs: DataFrame, resolved: DataFrame, tags: DataFrame, canonical_map: DataFrame, index: DataFrame, length: DataFrame, limit: int = 10) -> DataFrame:
     """path, score, reasons of the notes with most evidence, each duplicate standing for its canonical copy."""
     role = path_role(F.col("path"))
     own_role = path_role(F.lit(note))
@@ -46,7 +46,7 @@ def related(note: str, notes: DataFrame, docs: DataFrame, resolved: DataFrame, t
         near = notes.filter(F.col("path").startswith(folder + "/") & (F.col("path") != note)).select("path")
         few = near.agg(F.count(F.lit(1)).alias("n")).filter("n <= 5")
         parts.append(ev(near.join(F.broadcast(few), F.lit(True)).filter(own_role.isNull() | (own_role != "resource")), 5, "same folder"))
-    lexical = lexical_pool(docs, note, index).filter(F.size("overlap") >= 2)
+    lexical = lexical_pool(docs, note, index, length).filter(F.size("overlap") >= 2)
     same_role = own_role.isNotNull() & (role == own_role)
     parts.append(ev(lexical, F.least(F.size("overlap"), F.lit(4)) * 8 + F.when(same_role, 8).otherwise(0), F.concat(F.lit("shared title/heading terms: "), F.array_join(F.slice("overlap", 1, 4), ", "))))
     evidence = parts[0]

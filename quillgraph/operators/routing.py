@@ -10,11 +10,13 @@ from quillgraph.functions import text as T
 from quillgraph.operators.roles import para_ancestors
 
 
-def route(drafts: DataFrame, docs: DataFrame, threshold: int = 35) -> DataFrame:
+def route(drafts: DataFrame, docs: DataFrame, threshold: int = 35, terms: DataFrame | None = None) -> DataFrame:
     """draft_id, destination, score: folders with enough evidence and none below them with nearly as much, and
-    the inbox. Drafts are few; only notes that share terms with one go on."""
+    the inbox. Drafts are few; only notes that share terms with one go on. terms: stored rows of path and content_terms."""
     asked = drafts.select("draft_id", F.explode(T.terms(F.col("content"))).alias("term"))
-    terms = docs.select("path", F.explode(T.terms(F.concat_ws(" ", "title", "headings", "tags", "tasks", "body"))).alias("term"))
+    if terms is None:
+        terms = docs.select("path", T.terms(F.concat_ws(" ", "title", "headings", "tags", "tasks", "body")).alias("content_terms"))
+    terms = terms.select("path", F.explode("content_terms").alias("term"))
     hits = terms.join(asked.select("term").distinct(), "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from quillgraph.operators import duplicates as D
 from quillgraph.operators import facts, links, maintenance, related, roles, routing, search, structure
 from quillgraph.plans.corpus import notes
 from quillgraph.plans.index import VaultIndex
+from quillgraph.plans.store import stored_notes
 
 QUERY = "the and"
 SECTION = "links"
@@ -19,12 +20,18 @@ LIMIT_CHARS = 60
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> VaultIndex:
+    """The corpus' persisted index, which is built when a session first asks for it."""
+    store = stored_notes(spark, sf_dir, f"{sf_dir}/documents.parquet", notes(spark, sf_dir))
+    return VaultIndex(store.notes(), store=store)
+
+
 def query(f: Callable[[VaultIndex, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Registers a function of the corpus' index and its notes under its name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = notes(spark, sf_dir)
-        return f(VaultIndex(n), n)
+        ix = stored_index(spark, sf_dir)
+        return f(ix, ix.notes)
 
     QUERIES[f.__name__] = run
     return run
@@ -37,7 +44,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_drafts(f: Callable[[VaultIndex, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(VaultIndex(notes(spark, sf_dir)), drafts(spark, sf_dir))
+        return f(stored_index(spark, sf_dir), drafts(spark, sf_dir))
 
     QUERIES[f.__name__] = run
     return run
@@ -127,7 +134,7 @@ def note_role(ix, n):
 
 @query
 def role_missing(ix, n):
-    return roles.role_missing(ix.docs, ix.metadata)
+    return ix.missing_roles
 
 
 @query
@@ -215,7 +222,7 @@ def index_info(ix, n):
 
 def previous_files(n: DataFrame) -> DataFrame:
     """A stand-in for an earlier scan: some notes were not there, some had another text."""
-    old = n.filter("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    old = n.drop("sha256", "size_bytes").filter("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
     return VaultIndex(old).files
 
 
@@ -317,13 +324,13 @@ def name_similarity(ix, n):
 
 @query
 def search_bm25(ix, n):
-    best = search.bm25(ix.postings, ix.docs, search.phrases(n.sparkSession, search.query_tokens(QUERY)), True)
+    best = search.bm25(ix.postings, ix.doc_lengths, ix.notes, search.phrases(n.sparkSession, search.query_tokens(QUERY)), True)
     return best.select("path", F.round("score", 6).alias("score")).orderBy("score", "path").limit(10)
 
 
 @query
 def search_snippet(ix, n):
-    return search.search(ix.docs, QUERY).select("path", F.round("score", 6).alias("score"), "snippet")
+    return search.search(ix.docs, QUERY, index=ix.postings, length=ix.doc_lengths).select("path", F.round("score", 6).alias("score"), "snippet")
 
 
 def busiest(ix: VaultIndex) -> str:
@@ -333,12 +340,12 @@ def busiest(ix: VaultIndex) -> str:
 
 @query
 def related_lexical(ix, n):
-    return related.lexical_pool(ix.docs, busiest(ix), ix.postings).select("path", F.array_join("overlap", " ").alias("overlap"))
+    return related.lexical_pool(ix.docs, busiest(ix), ix.postings, ix.doc_lengths).select("path", F.array_join("overlap", " ").alias("overlap"))
 
 
 @query
 def related_notes(ix, n):
-    return related.related(busiest(ix), n, ix.docs, ix.links, ix.tags, D.canonical_map(ix.members), ix.postings)
+    return related.related(busiest(ix), n, ix.docs, ix.links, ix.tags, D.canonical_map(ix.members), ix.postings, ix.doc_lengths)
 
 
 @query
@@ -353,7 +360,7 @@ def inspect(ix, n):
 
 @with_drafts
 def find_duplicates(ix, d):
-    return D.top(D.find_duplicates(d, ix.docs), "draft_id", 5)
+    return D.top(D.find_duplicates(d, ix.docs, stored=ix.terms), "draft_id", 5)
 
 
 @query
@@ -363,12 +370,12 @@ def para_ancestors(ix, n):
 
 @with_drafts
 def route(ix, d):
-    return routing.route(d, ix.docs, threshold=10)
+    return routing.route(d, ix.docs, threshold=10, terms=ix.terms)
 
 
 @with_drafts
 def route_suggestion(ix, d):
-    return routing.suggestions(d, routing.route(d, ix.docs, threshold=10), ix.docs)
+    return routing.suggestions(d, routing.route(d, ix.docs, threshold=10, terms=ix.terms), ix.docs)
 
 
 @query
@@ -409,8 +416,8 @@ def findings(ix: VaultIndex) -> DataFrame:
         f(bad.filter("status = 'ambiguous'"), "ambiguous_wikilink", "medium", "path", F.col("target")),
         f(bad.filter("status = 'missing'"), "missing_wikilink", "medium", "path", F.col("target")),
         f(roles.role_invalid(ix.metadata), "invalid_role_marker", "medium", "path", F.col("invalid_values")),
-        f(roles.role_missing(ix.docs, ix.metadata).filter("role_hint = 'umbrella'"), "missing_role_marker", "medium", "path", F.col("role_hint")),
-        f(roles.role_missing(ix.docs, ix.metadata).filter("role_hint = 'source'"), "missing_role_marker", "low", "path", F.col("role_hint")),
+        f(ix.missing_roles.filter("role_hint = 'umbrella'"), "missing_role_marker", "medium", "path", F.col("role_hint")),
+        f(ix.missing_roles.filter("role_hint = 'source'"), "missing_role_marker", "low", "path", F.col("role_hint")),
     )
 
 
