@@ -75,9 +75,17 @@ class ShardStore:
         finally:
             stream.close()
         final = self._path(f"{self.root}/manifests/v{version:010d}.json")
-        if self._fs.exists(final) or not self._fs.rename(made, final):
+        # A rename that never replaces: of two writers of a version the file system lets one through.
+        gateway = self.spark.sparkContext._gateway
+        no_options = gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(made, final, no_options)
+        except Exception as e:
             self._fs.delete(made, False)
-            raise ConcurrentCommit(f"version {version} exists")
+            if self._fs.exists(final):
+                raise ConcurrentCommit(f"version {version} exists") from e
+            raise
         return version
 
     def _written(self, folder: str, rows: bool = True) -> list[dict]:
@@ -122,11 +130,13 @@ class ShardStore:
             if len(members) < self.tiers.fan_in:
                 continue
             group: list[dict] = []
+            held = 0
             for x in members:
-                if group and sum(y["bytes"] for y in group) + x["bytes"] > self.tiers.target_bytes:
+                if group and held + x["bytes"] > self.tiers.target_bytes:
                     groups.append(group)
-                    group = []
+                    group, held = [], 0
                 group.append(x)
+                held += x["bytes"]
             if len(group) > 1:
                 groups.append(group)
         return [g for g in groups if len(g) > 1]

@@ -141,10 +141,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(tokenizer_path: str) -> Callable[[list[str]], Iterator[bytes]]:
-    """One encoder for each worker process, which tasks share."""
+def encoder(tokenizer_path: str, most: int = 450_000) -> Callable[[list[str]], Iterator[bytes]]:
+    """One encoder for each worker process, which tasks share; most: words that it keeps (some 500 bytes each)."""
     if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = Encoder(tokenizer_path)
+        _encoders[tokenizer_path] = Encoder(tokenizer_path, most)
     held = _encoders[tokenizer_path]
 
     def encode(texts: list[str]) -> Iterator[bytes]:
@@ -248,11 +248,11 @@ def token_index(spark: SparkSession, path: str, scratch: Callable[[DataFrame], D
     )
 
 
-def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens of each row, with the end id; null is the empty text."""
+def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", most: int = 450_000) -> DataFrame:
+    """doc_id, n_tokens of each row, with the end id; null is the empty text. most: words that a worker keeps."""
 
     def run(batches):
-        ids_of = encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path, most)
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 rows = batch.slice(part, 512)

@@ -81,10 +81,18 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
+_RAW = ("script", "style", "template", "textarea", "noscript")
+_HIDDEN = "(?is)<!--.*?-->|" + "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in _RAW)
+_MOVED = r"(?:^|[^\w.$-])(?:(?:window|document|self|top)\.)?location(?:\.href)?\s*=\s*[\"']([^\"']+)[\"']"
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url_a, url_b: canonical links and redirects (meta refresh, an assignment to location) that the pages
-    declare, without fragments. Only pages with such a tag go on from the scan."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
+    """url_a, url_b: canonical links and redirects (meta refresh, an assignment to location in a script) that the pages
+    declare, without fragments. Tags within comments, scripts, styles, templates, text areas and noscript are none, nor is
+    an attribute that is called location. Only pages with such a word go on from the scan. Null html or url
+    declares nothing; repeated rows count once."""
+    bare = F.regexp_replace(F.col(html), _HIDDEN, "")
+    tags = F.regexp_extract_all(bare, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     canonical = F.transform(
         F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?\s*canonical\b")),
         lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1),
@@ -93,7 +101,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b")),
         lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1),
     )
-    moved = F.regexp_extract_all(F.col(html), F.lit(r"(?s)\blocation(?:\.href)?\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    scripts = F.regexp_extract_all(F.regexp_replace(F.col(html), r"(?is)<!--.*?-->", ""), F.lit(r"(?is)<script\b[^>]*>(.*?)</script"), F.lit(1))
+    moved = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(_MOVED), F.lit(1))))
     links = F.concat(canonical, refresh, moved)
     named = pages.filter(F.col(url).isNotNull() & F.col(html).rlike(r"(?i)canonical|http-equiv|location"))
     return (
@@ -133,13 +142,15 @@ WITH RECURSIVE u AS (
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM u WHERE url IS NOT NULL),
+bare AS (SELECT url, regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>|<textarea\b[^>]*>.*?</textarea\s*>|<noscript\b[^>]*>.*?</noscript\s*>', '', 'g') AS html FROM u WHERE url IS NOT NULL),
+scripts AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>(.*?)</script', 1)) AS x FROM u WHERE url IS NOT NULL),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM bare),
 links AS (
   SELECT url, regexp_extract(t, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS l FROM tags WHERE regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?\s*canonical\b')
   UNION ALL
   SELECT url, regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) FROM tags WHERE regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b')
   UNION ALL
-  SELECT url, unnest(regexp_extract_all(html, '(?s)\blocation(?:\.href)?\s*=\s*["'']([^"'']+)["'']', 1)) FROM u WHERE url IS NOT NULL),
+  SELECT url, unnest(regexp_extract_all(x, '(?:^|[^\w.$-])(?:(?:window|document|self|top)\.)?location(?:\.href)?\s*=\s*["'']([^"'']+)["'']', 1)) FROM scripts),
 e0 AS (SELECT regexp_replace(url, '#.*$', '') AS a, regexp_replace(l, '#.*$', '') AS b FROM links WHERE l LIKE '%://%'),
 e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
 reach(node, seen) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.seen = e.a),

@@ -203,6 +203,19 @@ def test_url_aliases(spark):
     assert got[4] == got[5] == ("", "", None, "allow") and got[6] == ("x.example.net", "/de/80", "example.net/de/8", "block")
     html = frame(spark, [("http://a.com/d/x", '<link href="/y" rel="canonical"><meta http-equiv=refresh content="0; url=http://b.org/z">')], "url string, html string")
     assert sorted(r[1] for r in urls.link_edges(html).collect()) == ["http://a.com/y", "http://b.org/z"]
+    quiet = [
+        '<!-- <link rel=canonical href="/c"> -->', '<script>var x = \'<link rel="canonical" href="/s">\'; dislocation = "/n"; a.location = "/m"</script>',
+        '<div data-location="/d" location="/l">location = "/t"</div>', "<noscript><meta http-equiv=refresh content='0;url=/q'></noscript>", None,
+    ]
+    loud = ['<script type="x">window.location.href = "/w"</script>', '<script>if (a) location="/v"</script>']
+    table = frame(spark, [(f"http://h.com/{i}", x) for i, x in enumerate(quiet + loud + loud)] + [(None, loud[0])], "url string, html string")
+    assert sorted({r[1] for r in urls.link_edges(table).collect()}) == ["http://h.com/v", "http://h.com/w"]
+    assert urls.judge_urls(pages.limit(0), edges).count() == 0
+    # A chain, a cycle and a hub: a block at any end reaches all of them but what is allowed.
+    chain = [(f"http://c.x/{i}", f"http://c.x/{i + 1}") for i in range(6)] + [("http://c.x/6", "http://c.x/0"), ("http://c.x/3", "http://s.org/es/1")] + [("http://c.x/5", f"http://k.x/{i}") for i in range(9)]
+    many = frame(spark, [(i, u) for i, u in enumerate([*(f"http://c.x/{i}#top" for i in range(7)), *(f"http://k.x/{i}" for i in range(9)), "http://else.x/"])] + [(0, "http://c.x/0#top")], "page_id long, url string")
+    got = urls.judge_urls(many, frame(spark, chain, "url_a string, url_b string")).collect()
+    assert len(got) == 18 and {r["page_id"] for r in got if r["verdict"] == "allow"} == {16}
 
 
 def test_extraction(spark):
@@ -227,3 +240,19 @@ def test_shards(spark, tmp_path):
     with pytest.raises(shards.ConcurrentCommit):
         store._commit(stale, [], stale["schema"])
     assert json.loads(store.manifest()["schema"])["type"] == "struct"
+    # Two writers of one version: one commits, the other is told, and its manifest doesn't replace the first.
+    from threading import Barrier, Thread
+
+    base, gate, told = store.manifest(), Barrier(4), []
+
+    def commit(k):
+        gate.wait()
+        try:
+            told.append((k, store._commit(base, base["shards"][:k], base["schema"])))
+        except shards.ConcurrentCommit:
+            told.append((k, None))
+
+    writers = [Thread(target=commit, args=(k,)) for k in range(4)]
+    [x.start() for x in writers], [x.join() for x in writers]
+    won = [k for k, v in told if v]
+    assert len(told) == 4 and len(won) == 1 and len(store.manifest()["shards"]) == len(base["shards"][: won[0]])
