@@ -19,6 +19,8 @@ from quillgraph.llm import decontaminate, jaccard, packing, quality, repeats, to
 from quillgraph.llm.common import delete, materialize, scratch, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Words that a worker of the packing stage keeps with their tokens, as it shares an executor with the other stages.
+WORDS = 60_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -96,7 +98,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage(4)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing plan of the documents' tokens: one row for each piece."""
-    return packing.pack(materialize(tokens.token_lengths(docs, TOKENIZER), "lengths"), F.col("n_tokens"))
+    return packing.pack(materialize(tokens.token_lengths(docs, TOKENIZER, most=WORDS), "lengths"), F.col("n_tokens"))
 
 
 STAGES = [
