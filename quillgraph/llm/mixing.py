@@ -7,9 +7,9 @@ code. So a text is a sequence of binary decisions, a few for each word, and ever
 For each decision several contexts (the node of the code with nothing, the end of the previous word, that
 word, and so on) are hashed into tables of counts of zeros and ones. Each count pair gives a log odds; these are
 summed with weights that a gate (the depth in the code, the place in the word) selects, and the sum is
-refined by a small adaptive map from gate and log odds to what was found there. In training a task goes
-through its documents once: each block is predicted from the counts so far, weights and map learn from the
-errors, then the counts learn the block. The tasks' counts and maps are summed, their weights averaged.
+refined by a small adaptive map from gate and log odds to what was found there. Training documents are dealt into
+shards by hash; a task goes through a shard once, in the shard's own order: each block is predicted from the counts so far, weights and map learn from the
+errors, then the counts learn the block. The shards' counts and maps are summed, their weights averaged.
 
 Scoring reads the model only, so a score depends on the training documents and the text alone.
 Training text is all of it, whatever its size; the tables' sizes are parameters, and the counts of
@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize, most_frequent
-from quillgraph.llm.kernels import NOT_SPACE, Words, blocks, concat_ranges, mix
+from quillgraph.llm.kernels import BLOCK_BYTES, NOT_SPACE, Words, blocks, concat_ranges, mix
 
 CONTEXTS = 5
 #: Symbols so frequent that the last one seen tells the language.
@@ -49,6 +50,8 @@ class Mixing:
     head: int = 1 << 19
     rate: float = 0.25
     prior: float = 0.4
+    #: Bytes of words in a training shard; a shard is learned by one task, in an order of its own.
+    shard_bytes: int = 48 << 20
     #: Slots in a row of the tables' shuffle.
     row_slots: int = 1 << 14
 
@@ -242,69 +245,115 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
 _PART = "part int, row int, zeros binary, ones binary"
 
 
-def _learn(model, rule: Mixing):
-    """One task's pass over its training texts. part 0 .. CONTEXTS - 1: rows of the tables; CONTEXTS: the map;
-    CONTEXTS + 1: weights times decisions of each gate, and those decisions."""
-
-    def run(batches):
-        m: Model = model.value
-        slots = 1 << rule.slot_bits
-        counts = np.zeros((CONTEXTS, slots, 2), np.int32)
-        weights = np.zeros((2, GATES, CONTEXTS + 1), np.float32)
-        weights[:, :, :CONTEXTS] = 0.5
-        seen = np.zeros((2, GATES), np.float64)
-        found = np.zeros((2, 2, GATES * BUCKETS), np.int64)
+#: Weights are averaged as multiples of 1 / STEP, whose sums are exact in whatever order.
+STEP = 1024
+
+
+class _Learner:
+    """One shard's counts, weights and map."""
+
+    def __init__(self, model: Model, rule: Mixing):
+        self.m, self.rule, self.slots = model, rule, 1 << rule.slot_bits
+        self.counts = np.zeros((CONTEXTS, self.slots, 2), np.int32)
+        self.weights = np.zeros((2, GATES, CONTEXTS + 1), np.float32)
+        self.weights[:, :, :CONTEXTS] = 0.5
+        self.seen = np.zeros((2, GATES), np.float64)
+        self.found = np.zeros((2, 2, GATES * BUCKETS), np.int64)
+        self.odds = np.zeros((CONTEXTS, self.slots), np.float32)
+        self.bent = np.zeros((2, GATES, CONTEXTS + 1))
+        self.turn = 0
+
+    def learn(self, block) -> None:
+        m, rule = self.m, self.rule
+        w = block.words(NOT_SPACE)
+        for stream, d in enumerate(_decisions(w, _find(m.tokens, w.hash), m)):
+            if not len(d.bit):
+                continue
+            inputs = []
+            for i, s in enumerate(d.slots(rule.slot_bits)):
+                inputs.append(self.odds[i].take(s))
+                self.counts[i].reshape(-1)[:] += np.bincount(s * 2 + d.bit, minlength=2 * self.slots)  # odds stay until the block ends
+            weights, bent = self.weights[stream], self.bent[stream]
+            z = _mixed(inputs, weights, d.gate)
+            p = 1 / (1 + np.exp(-z))
+            error = d.bit - p
+            number = np.bincount(d.gate, minlength=GATES)
+            for i, s in enumerate([*inputs, None]):
+                g = np.bincount(d.gate, error if s is None else error * s, GATES)
+                if self.turn % 8 == 0:  # the curvature changes slowly
+                    curve = p * (1 - p)
+                    bent[:, i] = np.bincount(d.gate, curve if s is None else curve * s * s, GATES) / np.maximum(number, 1)
+                weights[:, i] += (rule.rate * g / (bent[:, i] * number + 50.0)).clip(-0.2, 0.2)
+            self.seen[stream] += number
+            cell = _cell(z, d.gate)
+            self.found[:, stream] += np.bincount(cell * 2 + d.bit, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
         prior = np.float32(rule.prior)
-        odds = np.zeros((CONTEXTS, slots), np.float32)
-        bent = np.zeros((2, GATES, CONTEXTS + 1))
-        turn, any_rows = 0, False
-        for batch in batches:
-            for block in blocks(batch.column(0)) if batch.num_rows else ():
-                any_rows = True
-                w = block.words(NOT_SPACE)
-                for stream, d in enumerate(_decisions(w, _find(m.tokens, w.hash), m)):
-                    if not len(d.bit):
-                        continue
-                    inputs = []
-                    for i, s in enumerate(d.slots(rule.slot_bits)):
-                        inputs.append(odds[i].take(s))
-                        counts[i].reshape(-1)[:] += np.bincount(s * 2 + d.bit, minlength=2 * slots)  # odds stay until the block ends
-                    z = _mixed(inputs, weights[stream], d.gate)
-                    p = 1 / (1 + np.exp(-z))
-                    error = d.bit - p
-                    number = np.bincount(d.gate, minlength=GATES)
-                    for i, s in enumerate([*inputs, None]):
-                        g = np.bincount(d.gate, error if s is None else error * s, GATES)
-                        if turn % 8 == 0:  # the curvature changes slowly
-                            curve = p * (1 - p)
-                            bent[stream, :, i] = np.bincount(d.gate, curve if s is None else curve * s * s, GATES) / np.maximum(number, 1)
-                        weights[stream, :, i] += (rule.rate * g / (bent[stream, :, i] * number + 50.0)).clip(-0.2, 0.2)
-                    seen[stream] += number
-                    cell = _cell(z, d.gate)
-                    found[:, stream] += np.bincount(cell * 2 + d.bit, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
-                for i in range(CONTEXTS):
-                    pair = counts[i].astype(np.float32) + prior
-                    np.log(pair[:, 1] / pair[:, 0], out=odds[i])
-                turn += 1
-        if not any_rows:
-            return
-        step = min(rule.row_slots, slots)
+        for i in range(CONTEXTS):
+            pair = self.counts[i].astype(np.float32) + prior
+            np.log(pair[:, 1] / pair[:, 0], out=self.odds[i])
+        self.turn += 1
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        step = min(self.rule.row_slots, self.slots)
         part, row, a, b = [], [], [], []
         for i in range(CONTEXTS):
-            for k in range(0, slots, step):
-                if counts[i, k : k + step].any():
+            for k in range(0, self.slots, step):
+                if self.counts[i, k : k + step].any():
                     part.append(i)
                     row.append(k // step)
-                    a.append(counts[i, k : k + step, 0].astype("<i4").tobytes())
-                    b.append(counts[i, k : k + step, 1].astype("<i4").tobytes())
+                    a.append(self.counts[i, k : k + step, 0].astype("<i4").tobytes())
+                    b.append(self.counts[i, k : k + step, 1].astype("<i4").tobytes())
         part += [CONTEXTS, CONTEXTS + 1]
         row += [0, 0]
-        a += [found[0].astype("<f8").tobytes(), (weights * seen[:, :, None]).astype("<f8").tobytes()]
-        b += [found[1].astype("<f8").tobytes(), np.repeat(seen[:, :, None], CONTEXTS + 1, 2).astype("<f8").tobytes()]
+        a += [self.found[0].astype("<f8").tobytes(), (np.rint(self.weights.astype(np.float64) * STEP) * self.seen[:, :, None]).astype("<f8").tobytes()]
+        b += [self.found[1].astype("<f8").tobytes(), np.repeat(self.seen[:, :, None], CONTEXTS + 1, 2).astype("<f8").tobytes()]
         for k in range(0, len(part), 64):
             e = k + 64
             yield pa.RecordBatch.from_arrays([pa.array(part[k:e], pa.int32()), pa.array(row[k:e], pa.int32()), pa.array(a[k:e], pa.binary()), pa.array(b[k:e], pa.binary())], ["part", "row", "zeros", "ones"])
 
+
+def _by_shard(batches) -> Iterator[tuple[int, pa.Array]]:
+    """Shards' texts in pieces that end with the text that reaches BLOCK_BYTES, wherever batches begin and end."""
+    held: list[pa.Array] = []
+    size, last = 0, None
+    for batch in batches:
+        shard, text = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).fill_null(b"")
+        length = pc.binary_length(text).to_pylist()
+        begin = 0
+        for i, s in enumerate(shard):
+            if s != last:
+                if i > begin:
+                    held.append(text.slice(begin, i - begin))
+                if held:
+                    yield last, pa.concat_arrays(held)
+                held, size, begin, last = [], 0, i, s
+            size += length[i]
+            if size >= BLOCK_BYTES:
+                held.append(text.slice(begin, i + 1 - begin))
+                yield last, pa.concat_arrays(held)
+                held, size, begin = [], 0, i + 1
+        if begin < len(shard):
+            held.append(text.slice(begin))
+    if held:
+        yield last, pa.concat_arrays(held)
+
+
+def _learn(model, rule: Mixing):
+    """Rows (shard, text) in order of shard to each shard's model. part 0 .. CONTEXTS - 1: rows of the tables; CONTEXTS: the
+    map; CONTEXTS + 1: weights (times STEP) times decisions of each gate, and those decisions."""
+
+    def run(batches):
+        learner, last = None, None
+        for shard, texts in _by_shard(batches):
+            if learner is None or shard != last:
+                if learner is not None:
+                    yield from learner.rows()
+                learner, last = _Learner(model.value, rule), shard
+            for block in blocks(texts):
+                learner.learn(block)
+        if learner is not None:
+            yield from learner.rows()
+
     return run
 
 
@@ -332,9 +381,10 @@ def _add(prior: float):
 
 
 def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
-    """The model of a text column, and the count of every token's hash. Null is the empty text."""
+    """The model of texts (id, text), and the count of every token's hash. Null is the empty text. Texts are dealt into shards
+    by id and text, and a shard has one order, so the model depends on the rows alone, not on how they are partitioned."""
     spark = texts.sparkSession
-    counted = materialize(texts.mapInArrow(_count, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counted = materialize(texts.select("text").mapInArrow(_count, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     tokens = counted.filter("kind = 0").select(F.col("key").alias("token"), "n")
     few = {(r["kind"], r["key"]): r["n"] for r in counted.filter("kind > 0").collect()}  # at most 258 rows
     ends = few.get((2, 0), 0)
@@ -355,7 +405,10 @@ def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
     kept = symbol >= 0  # training needs the symbols' tokens only
     told.tokens, told.counts, told.symbol = told.tokens[kept], told.counts[kept], symbol[kept]
     sent = spark.sparkContext.broadcast(told)
-    rows = texts.mapInArrow(_learn(sent, rule), _PART).repartition("part", "row").mapInArrow(_add(rule.prior), _PART).toArrow()  # as large as the tables
+    shards = max(1, -(-int(letters[:STOP].sum()) // rule.shard_bytes))
+    dealt = texts.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), "text", F.xxhash64("text", "id").alias("turn"), "id")
+    ordered = dealt.repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", "turn", "id").select("shard", "text")
+    rows = ordered.mapInArrow(_learn(sent, rule), _PART).repartition("part", "row").mapInArrow(_add(rule.prior), _PART).toArrow()  # as large as the tables
     slots, step = 1 << rule.slot_bits, min(rule.row_slots, 1 << rule.slot_bits)
     model.tables = np.zeros((CONTEXTS, slots), np.float32)
     model.weights = np.full((2, GATES, CONTEXTS + 1), 0.5, np.float32)
@@ -370,7 +423,7 @@ def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
             model.refined = np.log((o + 20 * p) / (z + 20 * (1 - p))).astype(np.float32)
         else:
             s, n = (np.frombuffer(x, "<f8").reshape(2, GATES, CONTEXTS + 1) for x in (a, b))
-            model.weights = np.where(n > 0, s / np.maximum(n, 1), 0.5).astype(np.float32)
+            model.weights = np.where(n > 0, s / STEP / np.maximum(n, 1), 0.5).astype(np.float32)
     return model, tokens
 
 
@@ -439,7 +492,7 @@ def score(docs: DataFrame, rule: Mixing = Mixing(), id_col: str = "doc_id", text
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     thin = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).cast("string").alias("text"))
-    model, tokens = fit(thin.filter("not held_out").select("text"), rule)
+    model, tokens = fit(thin.filter("not held_out").select(F.col("doc_id").alias("id"), "text"), rule)
     sent = spark.sparkContext.broadcast(model)
     scored = materialize(thin.mapInArrow(_score(sent, rule), _SCORED), "scored")
     rows = scored.filter("kind = 0")

@@ -151,6 +151,26 @@ def test_mixing_base_scores(spark):
     assert mixing.score(frame(spark, []), mixing.Mixing(slot_bits=12)).count() == 0
 
 
+def test_mixing_is_a_function_of_the_table(spark):
+    """Scores are the same however the rows are partitioned, with several shards and blocks."""
+    docs = corpus(5, 150)
+    rule = mixing.Mixing(slot_bits=12, shard_bytes=9000)
+    table = spark.createDataFrame(docs, DOC)
+    got = [{r["doc_id"]: r["score"] for r in mixing.score(table.repartition(n), rule).collect()} for n in (1, 5)]
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][d] - got[1][d]) < 1e-9 for d in got[0])
+
+
+def test_mixing_blocks_by_shard():
+    import pyarrow as pa
+
+    texts = [b"x" * n for n in (5, 2_000_000, 7, 0, 600_000, 600_000, 9, 1)]
+    shards = [0, 0, 0, 1, 1, 1, 1, 2]
+    whole = [(s, t.to_pylist()) for s, t in mixing._by_shard([pa.record_batch([pa.array(shards), pa.array(texts)], ["shard", "text"])])]
+    cut = [pa.record_batch([pa.array(shards[i : i + 3]), pa.array(texts[i : i + 3])], ["shard", "text"]) for i in range(0, 8, 3)]
+    assert whole == [(s, t.to_pylist()) for s, t in mixing._by_shard(cut)]
+    assert [s for s, _ in whole] == [0, 0, 1, 1, 2] and sum((t for _, t in whole), []) == texts
+
+
 def test_tokens_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
