@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,14 @@ from quillgraph.llm.kernels import RangeHash, concat_ranges, mix
 from quillgraph.llm.repeats import _slide
 from quillgraph.llm.suffix import suffix_array
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
+#: Comments, tags and other markup. A quote opens an attribute's value right after = only; where such a value never
+#: ends, the tag does at the next >. Markup that the page's end cuts off goes too.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)(?:((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>|([^>]*+)(?:>|\Z))"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"([A-Za-z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 
@@ -43,9 +51,17 @@ LEFT_OUT = frozenset("head nav footer aside form button select menu dialog ifram
 MARKS = frozenset(
     "ad ads adv advert advertisement adverts adslot adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar aside comment comments commentlist reply replies respond discussion menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar share sharing social "
-    "related recommended newsletter subscribe subscription signup login pagination pager toolbar search widget widgets disclaimer contentinfo complementary".split()
+    "reviews related recommended newsletter subscribe subscription signup login pagination pager toolbar search widget widgets disclaimer contentinfo complementary".split()
 )
-_MARK = re.compile(r"[^A-Za-z]+")
+#: Words that may stand beside a mark in a name: footer-inner is a footer, comments-open is none.
+BESIDE = frozenset("area bar block bottom box col column container global id inner item items left link links list outer page panel reader right row section site slot top unit user wrap wrapper zone".split())
+_MARK = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _is_mark(name: str) -> bool:
+    """Whether a class or id names what is no main text: a mark, with nothing beside it but such words."""
+    words = [x.lower() for x in _MARK.split(name) if x]
+    return not MARKS.isdisjoint(words) and all(x in MARKS or x in BESIDE for x in words)
 ARTICLE, MAIN, OPEN = 3, 2, 1
 
 
@@ -68,8 +84,7 @@ def _marked(attributes: str) -> tuple[bool, bool]:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "aria-label"):
-            words = [x.lower() for x in _MARK.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)) if x]
-            bad |= name != "aria-label" and not MARKS.isdisjoint(words)
+            bad |= name != "aria-label" and any(_is_mark(x) for x in value.split())
             main |= name == "role" and value.lower() == "main"
         elif name == "itemprop":
             main |= value.lower() == "articlebody"
@@ -85,6 +100,15 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
     blocks: list[tuple[int, str]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, left out, level
+    opened: Counter[str] = Counter()  # tags on the stack
+    places: list[int] = []  # of block elements on the stack
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        if places and places[-1] == len(stack):
+            places.pop()
+        return tag
 
     def flush():
         if text:
@@ -106,14 +130,15 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if not any(x[0] == tag for x in stack):
+            if not opened[tag]:
                 if tag in BLOCK:
                     flush()
                 continue
-            if tag in BLOCK or any(x[0] in BLOCK for x in stack[next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) :]):
+            ended = [pop()]
+            while ended[-1] != tag:
+                ended.append(pop())
+            if not BLOCK.isdisjoint(ended):
                 flush()
-            while stack.pop()[0] != tag:
-                pass
         else:
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -126,33 +151,47 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
             if tag in BLOCK:
                 flush()
                 # An open p, or an open item of the same list, ends here.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] == tag == "li":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-                if tag == "body" and any(x[0] == "head" for x in stack):
-                    del stack[next(i for i, x in enumerate(stack) if x[0] == "head") :]
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+                if places and (stack[places[-1]][0] == "p" or stack[places[-1]][0] == tag == "li"):
+                    for _ in range(len(stack) - places[-1]):
+                        pop()
+                if tag == "body":
+                    while opened["head"]:
+                        pop()
+            attributes = m[3] if m[3] is not None else m[4]
+            if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
                 continue
             before = stack[-1] if stack else ("", False, OPEN)
-            bad, main = _marked(m[3]) if "=" in m[3] else (False, False)
+            bad, main = _marked(attributes) if "=" in attributes or "hidden" in attributes else (False, False)
             if tag in ("html", "body"):
                 bad = False
             bad |= tag in LEFT_OUT or tag == "header" and before[2] == OPEN
-            place = ARTICLE if tag == "article" or main and "itemprop" in m[3] else MAIN if tag == "main" or main else OPEN
+            place = ARTICLE if tag == "article" or main and "itemprop" in attributes else MAIN if tag == "main" or main else OPEN
+            if tag in BLOCK:
+                places.append(len(stack))
+            opened[tag] += 1
             stack.append((tag, before[1] or bad, max(before[2], place)))
         after = stack[-1] if stack else ("", False, OPEN)
-        if after[1:] != (out, level):
+        # An inline element that is left out doesn't end the block that it stands in.
+        if after[2] != level or after[1] != out and tag in BLOCK:
             flush()
-            out, level = after[1], after[2]
+        out, level = after[1], after[2]
     if not out and at < len(page):
         text.append(page[at:])
     flush()
     return blocks
 
 
+def main_level(blocks: list[tuple[int, str]]) -> int:
+    """The level that is the page's main text: of articles and what else a main element holds the longer one (so teasers of
+    other articles lose to a text), else what is open; 0 without blocks."""
+    held = Counter()
+    for level, text in blocks:
+        held[level] += len(text)
+    if held[ARTICLE] and held[ARTICLE] >= held[MAIN]:
+        return ARTICLE
+    return MAIN if held[MAIN] else max(held, default=0)
+
+
 _PARSED = "rid long, page_id {id}, url string, host string, level int, blocks array<string>, open array<string>"
 
 
@@ -163,7 +202,7 @@ def _parse(batches) -> Iterator[pa.RecordBatch]:
             levels, kept, left = [], [], []
             for page in rows.column(4).to_pylist():
                 found = page_blocks(page)
-                best = max((x for x, _ in found), default=0)
+                best = main_level(found)
                 levels.append(best)
                 kept.append([t for x, t in found if x == best] if best > OPEN else [])
                 left.append([t for x, t in found if x == OPEN])

@@ -248,6 +248,39 @@ def test_extraction(spark):
         assert got[20] == "T & U\n\nonetwo\n\nthree" and got[21] == got[22] == ""
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p class="a>hello</p></article>', ["hello"]),
+        ("<article><a title=don't href=x>link</a> text it's</article>", ["link text it's"]),
+        ('<article><p title="a > b" data-x=\'c > d\'>one</p></article>', ["one"]),
+        ("<article>cut <b", ["cut"]),
+        ('<article class="post comments-open"><div class="has-sidebar">all<div class="sidebar-left">no</div></div></article>', ["all"]),
+        ('<article>x<div class="user-reviews">no</div><div id="adSlot">no</div><div class="article-header"><h1>T</h1></div></article>', ["x", "T"]),
+        ('<article>one <span class="ad">no</span> block</article>', ["one block"]),
+        ("<main>a long text of its own<article>teaser</article></main>", ["a long text of its own"]),
+        ("<main>path<article>the article that it is</article></main>", ["the article that it is"]),
+        ("<article>" + "<b>" * 30_000 + "<p>deep</p>" * 3 + "</i>" * 30_000 + "</article>", ["deep"] * 3),
+        ("<article>" + "<div>" * 20_000 + "deep" + "</div>" * 20_000 + "</article>", ["deep"]),
+    ],
+)
+def test_page_blocks(page, want):
+    from time import process_time
+
+    began = process_time()
+    blocks = extract.page_blocks(page)
+    assert [t for x, t in blocks if x == extract.main_level(blocks)] == want
+    assert process_time() - began < 3
+
+
+def test_extraction_odd_tables(spark):
+    schema = "page_id long, url string, html string, rid string, host string, blocks long, `a.b` long"
+    assert extract.main_text(frame(spark, [], schema)).count() == 0
+    rows = [(1, "http://h.org/1", "<article>same</article>", "r", "h", 1, 2)] * 3 + [(None, None, "<main>" + "long text " * 50_000 + "</main>", None, None, None, None)]
+    got = extract.main_text(frame(spark, rows, schema)).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", 4)] * 3 + [("None", 499_999)]
+
+
 def test_shards(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/s", shards.Tiers(target_bytes=1 << 20, least_bytes=1 << 10, arrival_rows=5))
     a, b = frame(spark, corpus(8)), frame(spark, [(i + 1000, t) for i, t in corpus(9)])
