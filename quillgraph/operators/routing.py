@@ -39,6 +39,20 @@ def route(drafts: DataFrame, docs: DataFrame, threshold: int = 35, terms: DataFr
     return kept.unionByName(inbox).withColumnRenamed("ancestor", "destination")
 
 
+#: Fixed values.
+LIMIT, SURE, INBOX = 5, 35, "Inbox/"
+
+
+def ranked(routed: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """draft_id, rank, destination, score, confidence: the best destinations, of equal ones the deeper and then the smaller
+    path first. A draft's confidence is high if its first one is no inbox and sure."""
+    order = Window.partitionBy("draft_id").orderBy(F.desc("score"), F.desc(F.size(F.split(F.rtrim(F.col("destination"), F.lit("/")), "/"))), "destination")
+    placed = routed.withColumn("rank", F.row_number().over(order))
+    sure = F.max((F.col("rank") == 1) & (F.col("destination") != INBOX) & (F.col("score") >= SURE)).over(Window.partitionBy("draft_id"))
+    kept = placed.withColumn("confidence", F.when(sure, "high").otherwise("low"))
+    return kept.filter(F.col("rank") <= limit).select("draft_id", "rank", "destination", "score", "confidence")
+
+
 def file_base(title: Column) -> Column:
     """A title as a file name without what file names can't hold."""
     base = F.regexp_replace(T.strip(F.regexp_replace(title, r'[\\/:*?"<>|]+', "-")), r"^\.+|\.+$", "")

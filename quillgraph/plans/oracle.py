@@ -108,6 +108,7 @@ def sql(final: str) -> str:
 
 _TERMS = "list_distinct(list_transform(list_filter(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2), lambda x: replace(lower(x), 'ß', 'ss')))"
 _FINDINGS = (
+    "SELECT 'missing_para_directory' AS type, 'high' AS severity, dir AS path, dir AS summary FROM (SELECT unnest(['Inbox/', 'Projects/', 'Areas/', 'Resources/', 'Archive/']) AS dir EXCEPT SELECT parts[1] || '/' FROM paths WHERE lower(parts[1]) NOT IN ('archive', 'archives') ) UNION ALL "
     "SELECT 'exact_duplicate' AS type, 'medium' AS severity, path, substr(sha256, 1, 12) AS summary FROM elected WHERE place = 1 "
     "UNION ALL SELECT 'ambiguous_wikilink', 'medium', path, target FROM links WHERE status = 'ambiguous' "
     "UNION ALL SELECT 'missing_wikilink', 'medium', path, target FROM links WHERE status = 'missing' "
@@ -115,6 +116,9 @@ _FINDINGS = (
     "UNION ALL SELECT 'missing_role_marker', CASE WHEN umbrella_like THEN 'medium' ELSE 'low' END, path, CASE WHEN umbrella_like THEN 'umbrella' ELSE 'source' END FROM umb WHERE path NOT IN ( SELECT path FROM meta WHERE key = 'note_role' )"
 )
 
+_ROUTE = "SELECT draft_id, destination, score FROM (WITH q AS (SELECT draft_id, unnest(terms) AS term FROM dterms ), nt AS (SELECT path, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(concat_ws(' ', title, headings, tags, tasks, body), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 2), lambda x: replace(lower(x), 'ß', 'ss')))) AS term FROM sdocs ), df AS (SELECT term, count(*) AS n FROM nt GROUP BY 1), w AS (SELECT q.draft_id, q.term, ln(((SELECT count(*) FROM sdocs ) + 1) / (coalesce(df.n, 0) + 1)) + 1 AS w FROM q LEFT JOIN df ON q.term = df.term), m AS (SELECT draft_id, sum(w) AS mass FROM w GROUP BY 1), e AS (SELECT w.draft_id, nt.path, round(sum(w.w) / any_value(m.mass), 12) AS e FROM nt JOIN w ON nt.term = w.term JOIN m ON w.draft_id = m.draft_id GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT e.draft_id, anc.ancestor, anc.depth, e.e, row_number() OVER (PARTITION BY e.draft_id, anc.ancestor ORDER BY e.e DESC, e.path DESC) AS r FROM e JOIN anc ON e.path = anc.path), s AS (SELECT draft_id, ancestor, CAST(round_even(round((sum(CASE WHEN r = 1 THEN e ELSE e * 0.25 END) + least(any_value(depth), 3) * 0.03) * 100, 9), 0) AS INT) AS score FROM b WHERE r <= 3 GROUP BY 1, 2), k AS (SELECT * FROM s WHERE score >= THRESHOLD) SELECT draft_id, ancestor AS destination, score FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.draft_id = x.draft_id AND y.ancestor <> x.ancestor AND starts_with(y.ancestor, x.ancestor) AND y.score >= x.score * 0.8) UNION ALL SELECT draft_id, 'Inbox/', 5 FROM drafts )"
+_RANKED = "SELECT draft_id, rank, destination, score, CASE WHEN max(CASE WHEN rank = 1 AND destination <> 'Inbox/' AND score >= 35 THEN 1 ELSE 0 END) OVER (PARTITION BY draft_id) = 1 THEN 'high' ELSE 'low' END AS confidence FROM (SELECT draft_id, destination, score, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY score DESC, len(string_split(rtrim(destination, '/'), '/')) DESC, destination) AS INT) AS rank FROM (" + _ROUTE.replace("THRESHOLD", "35") + ') ) QUALIFY rank <= 5'
+
 ORACLE_SQL: dict[str, str] = {
     k: sql(v)
     for k, v in {
@@ -174,6 +178,9 @@ ORACLE_SQL: dict[str, str] = {
         "dir_source_counts": "SELECT array_to_string(dirs[:k], '/') || '/' AS dir, count(*) FILTER (k = len(dirs)) AS direct_count, count(*) AS total_count FROM (SELECT string_split(parent, '/') AS dirs, unnest(range(1, len(string_split(parent, '/')) + 1)) AS k FROM paths ) GROUP BY 1",
         "maintenance_report": _FINDINGS,
         "finding_counts": f"SELECT type, severity, count(*) AS n FROM ({_FINDINGS}) GROUP BY 1, 2",
-        "route": "SELECT draft_id, destination, score FROM (WITH q AS (SELECT draft_id, unnest(terms) AS term FROM dterms ), nt AS (SELECT path, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(concat_ws(' ', title, headings, tags, tasks, body), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 2), lambda x: replace(lower(x), 'ß', 'ss')))) AS term FROM sdocs ), df AS (SELECT term, count(*) AS n FROM nt GROUP BY 1), w AS (SELECT q.draft_id, q.term, ln(((SELECT count(*) FROM sdocs ) + 1) / (coalesce(df.n, 0) + 1)) + 1 AS w FROM q LEFT JOIN df ON q.term = df.term), m AS (SELECT draft_id, sum(w) AS mass FROM w GROUP BY 1), e AS (SELECT w.draft_id, nt.path, round(sum(w.w) / any_value(m.mass), 12) AS e FROM nt JOIN w ON nt.term = w.term JOIN m ON w.draft_id = m.draft_id GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT e.draft_id, anc.ancestor, anc.depth, e.e, row_number() OVER (PARTITION BY e.draft_id, anc.ancestor ORDER BY e.e DESC, e.path DESC) AS r FROM e JOIN anc ON e.path = anc.path), s AS (SELECT draft_id, ancestor, CAST(round_even(round((sum(CASE WHEN r = 1 THEN e ELSE e * 0.25 END) + least(any_value(depth), 3) * 0.03) * 100, 9), 0) AS INT) AS score FROM b WHERE r <= 3 GROUP BY 1, 2), k AS (SELECT * FROM s WHERE score >= 10) SELECT draft_id, ancestor AS destination, score FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.draft_id = x.draft_id AND y.ancestor <> x.ancestor AND starts_with(y.ancestor, x.ancestor) AND y.score >= x.score * 0.8) UNION ALL SELECT draft_id, 'Inbox/', 5 FROM drafts )",
+        "route": _ROUTE.replace("THRESHOLD", "10"),
+        "route_ranked": _RANKED,
+        "index_refresh": "SELECT c.path, c.size_bytes, c.sha256, coalesce(h.n, 0) AS n_headings, coalesce(l.n, 0) AS n_links FROM cur c LEFT JOIN (SELECT path, count(*) AS n FROM heads GROUP BY 1) h ON h.path = c.path LEFT JOIN (SELECT path, count(*) AS n FROM links GROUP BY 1) l ON l.path = c.path",
+        "index_meta": "SELECT CAST(2 AS BIGINT) AS version, CAST(1 AS BIGINT) AS previous, count(*) FILTER (change <> 'deleted') AS file_count, count(*) FILTER (change IN ('new', 'changed')) AS changed_count, count(*) FILTER (change = 'deleted') AS deleted_count, count(*) FILTER (change = 'unchanged') AS unchanged_count FROM delta",
     }.items()
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from quillgraph.operators import duplicates as D
 from quillgraph.operators import facts, links, maintenance, related, roles, routing, search, structure
 from quillgraph.plans.corpus import notes
 from quillgraph.plans.index import VaultIndex
-from quillgraph.plans.store import stored_notes
+from quillgraph.plans.store import VaultStore, shared_folder, stored_notes
 
 QUERY = "the and"
 SECTION = "links"
@@ -220,10 +221,14 @@ def index_info(ix, n):
     return n.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.lower(T.suffix(F.col("path"))).isin(".md", ".markdown")).alias("markdown_files")).join(groups, F.lit(True))
 
 
+def earlier_notes(n: DataFrame) -> DataFrame:
+    changed = F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return n.drop("sha256", "size_bytes").filter("doc_id % 13 <> 0").withColumn("text", changed)
+
+
 def previous_files(n: DataFrame) -> DataFrame:
     """A stand-in for an earlier scan: some notes were not there, some had another text."""
-    old = n.drop("sha256", "size_bytes").filter("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return VaultIndex(old).files
+    return VaultIndex(earlier_notes(n)).files
 
 
 def later_files(n: DataFrame) -> DataFrame:
@@ -260,6 +265,30 @@ def cascade_delete(ix, n):
     return maintenance.cascade_delete(facts.headings(n), delta.filter("change = 'deleted'")).select("path", "line", "heading")
 
 
+def refreshed(ix: VaultIndex, n: DataFrame) -> VaultStore:
+    """An index of the earlier scan that was then brought to what is there now."""
+    raw = n.select("path", "text", "mtime", "doc_id")
+    store = VaultStore(n.sparkSession, f"{shared_folder(n.sparkSession)}/refresh-{uuid.uuid4().hex}")
+    store.refresh(earlier_notes(raw))
+    store.refresh(raw.filter("doc_id % 19 <> 0"))
+    return store
+
+
+@query
+def index_refresh(ix, n):
+    """The files and facts of an incrementally refreshed index."""
+    count = lambda c: F.size(c).cast("long")
+    return refreshed(ix, n).notes().select("path", "size_bytes", "sha256", count("heading_rows").alias("n_headings"), count("link_rows").alias("n_links"))
+
+
+@query
+def index_meta(ix, n):
+    """The counters that the refreshed index keeps of its last scan."""
+    meta = refreshed(ix, n).meta()
+    names = ("version", "previous", "file_count", "changed_count", "deleted_count", "unchanged_count")
+    return n.sparkSession.createDataFrame([tuple(meta[x] for x in names)], ", ".join(f"{x} long" for x in names))
+
+
 @query
 def doc_terms(ix, n):
     return D.document_terms(ix.docs, ("title", "headings", "tags")).select("path", F.explode("terms").alias("term"))
@@ -373,6 +402,12 @@ def route(ix, d):
     return routing.route(d, ix.docs, threshold=10, terms=ix.terms)
 
 
+@with_drafts
+def route_ranked(ix, d):
+    """The best destinations of each draft, as a user gets them."""
+    return routing.ranked(routing.route(d, ix.docs, terms=ix.terms))
+
+
 @with_drafts
 def route_suggestion(ix, d):
     return routing.suggestions(d, routing.route(d, ix.docs, threshold=10, terms=ix.terms), ix.docs)
@@ -393,15 +428,18 @@ def profile_top_terms(ix, n):
     return structure.top_terms(ix.files, ix.docs)
 
 
-@query
-def layout_missing(ix, n):
+def missing_roots(n: DataFrame) -> DataFrame:
     """Required folders that no note is in, against the notes outside the archive."""
-    spark = n.sparkSession
-    wanted = spark.createDataFrame([(x,) for x in roles.REQUIRED_ROOTS], "dir string")
+    wanted = n.sparkSession.createDataFrame([(x,) for x in roles.REQUIRED_ROOTS], "dir string")
     there = n.filter(~roles.archived(F.col("path"))).select(F.concat(F.substring_index("path", "/", 1), F.lit("/")).alias("dir")).distinct()
     return wanted.join(there, "dir", "left_anti")
 
 
+@query
+def layout_missing(ix, n):
+    return missing_roots(n)
+
+
 @query
 def dir_source_counts(ix, n):
     return roles.dir_source_counts(n.select("path"))
@@ -412,6 +450,7 @@ def findings(ix: VaultIndex) -> DataFrame:
     bad = ix.links.select("path", "target", "status")
     f = maintenance.finding
     return maintenance.report(
+        f(missing_roots(ix.notes), "missing_para_directory", "high", "dir", F.col("dir")),
         f(groups, "exact_duplicate", "medium", "canonical_path", F.substring("sha256", 1, 12)),
         f(bad.filter("status = 'ambiguous'"), "ambiguous_wikilink", "medium", "path", F.col("target")),
         f(bad.filter("status = 'missing'"), "missing_wikilink", "medium", "path", F.col("target")),
