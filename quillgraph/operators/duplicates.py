@@ -11,7 +11,6 @@ from quillgraph.operators.roles import path_role, role_rank
 
 #: Fixed values.
 MIN_TERMS, MIN_SHARED, MIN_COSINE, FREQUENT_RATIO, FREQUENT_LEAST = 6, 2, 0.55, 0.10, 5
-GENERIC_TITLE = ("link", "links", "note", "notes", "todo", "ссылка", "ссылки", "заметка", "заметки")
 STOPWORDS = tuple(
     "a an and are as at be been but by can could did do does for from had has have he her here him his how if "
     "in into is it its just like may me more most my no not of on or our out she so some than that the their them then "

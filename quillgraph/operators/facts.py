@@ -14,7 +14,8 @@ TASK = rf"^[{T.SPACE}]*[-*][{T.SPACE}]+\[([ xX])\][{T.SPACE}]+(.*)$"
 FENCE = rf"^[{T.SPACE}]*(```|~~~)"
 DELIMITER = rf"^---[{T.SPACE}]*$"
 LINK = r"(?<!!)\[\[([^\]\n]+)\]\]"
-_LETTER = "A-Za-zА-я"
+#: Fixed value: the letters that a tag may begin with.
+_LETTER = "A-Za-zА-Яа-я"
 TAG = rf"(?<![\p{{L}}\p{{N}}_/-])#([{_LETTER}0-9][\p{{L}}\p{{N}}_/-]*)"
 
 

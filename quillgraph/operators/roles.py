@@ -12,7 +12,6 @@ ROLE_ROOTS = (("inbox", "Inbox/"), ("project", "Projects/"), ("area", "Areas/"),
 ROLE_VALUES = ("source", "umbrella")
 ROLE_RANK = {"resource": 4, "project": 4, "area": 4, "inbox": 2}
 REQUIRED_ROOTS = ("Inbox/", "Projects/", "Areas/", "Resources/", "Archive/")
-TOOLING = ("__pycache__", "node_modules", ".venv", "venv", ".git", ".hg", ".svn")
 ROLE_KEY = "note_role"
 
 

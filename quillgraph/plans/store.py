@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import facts, maintenance
+from quillgraph.sources.atomic import AlreadyThere, create_once
 
 SCHEMA_VERSION = 1
 
@@ -51,7 +52,7 @@ class VaultStore:
 
     def versions(self) -> list[int]:
         folder = self._at(f"{self.path}/manifests")
-        return sorted(int(f.getPath().getName()[1:-5]) for f in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+        return sorted(int(name[1:-5]) for f in self._fs.listStatus(folder) if (name := f.getPath().getName()).startswith("v")) if self._fs.exists(folder) else []
 
     def meta(self, version: int | None = None) -> dict | None:
         """version, previous, schema, scanned_at, the scan's counters and each bucket's folder; None if nothing is stored."""
@@ -122,13 +123,10 @@ class VaultStore:
         return made | counters
 
     def _commit(self, made: dict) -> None:
-        place = self._at(f"{self.path}/manifests/v{made['version']}.json")
         try:
-            out = self._fs.create(place, False)
-        except Exception as e:
+            create_once(self.spark, f"{self.path}/manifests/v{made['version']}.json", json.dumps(made).encode())
+        except AlreadyThere as e:
             raise StaleIndex(f"version {made['version']} is there already") from e
-        out.write(json.dumps(made).encode())
-        out.close()
 
     def derived(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         """A table that follows from the last version's notes: written when it is first asked for, then read."""
