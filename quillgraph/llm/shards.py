@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.sources.atomic import AlreadyThere, create_once
+
 
 @dataclass(frozen=True)
 class Tiers:
@@ -68,24 +70,11 @@ class ShardStore:
 
     def _commit(self, base: dict, shards: list[dict], schema: str | None) -> int:
         version = base["version"] + 1
-        made = self._path(f"{self.root}/manifests/.new-{uuid.uuid4().hex}")
-        stream = self._fs.create(made, False)
-        try:
-            stream.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode()))
-        finally:
-            stream.close()
-        final = self._path(f"{self.root}/manifests/v{version:010d}.json")
-        # A rename that never replaces: of two writers of a version the file system lets one through.
-        gateway = self.spark.sparkContext._gateway
-        no_options = gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark._jsc.hadoopConfiguration())
+        content = json.dumps({"version": version, "schema": schema, "shards": shards}).encode()
         try:
-            files.rename(made, final, no_options)
-        except Exception as e:
-            self._fs.delete(made, False)
-            if self._fs.exists(final):
-                raise ConcurrentCommit(f"version {version} exists") from e
-            raise
+            create_once(self.spark, f"{self.root}/manifests/v{version:010d}.json", content)
+        except AlreadyThere as e:
+            raise ConcurrentCommit(f"version {version} exists") from e
         return version
 
     def _written(self, folder: str, rows: bool = True) -> list[dict]:
