@@ -66,3 +66,40 @@ def test_decontamination(spark, tmp_path):
     clean = [x for x in rows if not windows(x[1]) & windows(item)]
     got = sorted_rows(pipeline.decontamination(spark, table(spark, rows), str(tmp_path)))
     assert {x[0] for x in got} >= {x[0] for x in clean} and 1 not in {x[0] for x in got}
+
+
+def test_quality_rules(spark):
+    """Against the operator's SQL, with null hosts, texts and ids, repeated rows and a clashing column."""
+    import duckdb
+    import pandas as pd
+
+    from quillgraph.llm import quality
+
+    r = random.Random(4)
+    good = lambda: " ".join(f"w{r.randrange(900)}" for _ in range(60))
+    rows = [(i, good(), "en", "fine", i) for i in range(30)] + [(100 + i, "short" if i % 6 else good(), "en", "spam", i) for i in range(40)]
+    rows += [(200, None, "en", "fine", 0), (201, "", "en", None, 0), (202, good(), None, None, None), (203, "a b c " * 40, "en", "fine", 0)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    db = duckdb.connect()
+    db.register("documents", documents)
+    kept = {x[0] for x in db.execute(f"SELECT doc_id FROM ({quality.ORACLE_SQL}) WHERE kept").fetchall()}
+    assert 0 in kept and not {100, 101, 106, 200, 201, 203} & kept and 202 in kept
+    docs = spark.createDataFrame([(*x, "e") for x in rows], SCHEMA + ", base_failed string").repartition(3)
+    assert sorted_rows(pipeline.quality_rules(spark, docs, "")) == sorted((x for x in rows if x[0] in kept), key=repr)
+    twice = [(None, rows[0][1], "en", "fine", 1)] * 2 + rows[:3] * 2
+    assert sorted_rows(pipeline.quality_rules(spark, table(spark, twice), "")) == sorted(twice, key=repr)
+    assert pipeline.quality_rules(spark, table(spark, []), "").count() == 0
+
+
+def test_packing_stage(spark):
+    """Pieces of each document follow one another up to its tokens as the library counts them, and the end."""
+    from tokenizers import Tokenizer
+
+    rows = [x for x in corpus() if x[0] is not None] + [(60, "long words " * 5000, "en", "h", 1)]
+    plain = Tokenizer.from_file(pipeline.TOKENIZER)
+    want = {d: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for d, t, *_ in rows}
+    got = {}
+    for x in pipeline.best_fit_packing(spark, table(spark, rows), "").orderBy("doc_id", "start").collect():
+        assert x["start"] == got.get(x["doc_id"], 0)
+        got[x["doc_id"]] = x["start"] + x["length"]
+    assert got == want
