@@ -109,7 +109,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the near duplicates' components, byte spans and packing; tests/llm/test_pipeline.py holds each stage, and run(), against brute force.
+#: SQL can't express the near duplicates' components, byte spans and packing. tests/llm/test_pipeline.py holds the stages against brute
+#: force (decontamination in part: items of ten words and more; the quality rules against their SQL); run() as a whole is not tested so.
 ORACLE_SQL = None
 
 
