@@ -28,6 +28,12 @@ def exact_groups(files: DataFrame) -> DataFrame:
     return files.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).filter("n > 1")
 
 
+def group_examples(files: DataFrame, limit: int = 10) -> DataFrame:
+    """sha256, n, paths of the largest groups, of equal ones the smallest hash first. Paths are gathered for those only."""
+    largest = files.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "sha256").limit(limit)
+    return exact_groups(files.join(F.broadcast(largest.select("sha256")), "sha256", "left_semi"))
+
+
 def assessed(files: DataFrame, degrees: DataFrame) -> DataFrame:
     """Members of duplicate groups with what the election compares: not_inbox, connectivity, mtime, rank, pref."""
     several = files.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -115,6 +121,45 @@ def top(rows: DataFrame, by: str, limit: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
+def group_of(files: DataFrame, path_or_group: str) -> str | None:
+    """The hash of a path's duplicate group, None if it has no copies, or that of the one group that a sha256: prefix names."""
+    sizes = files.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = files.filter(F.col("path") == path_or_group).select("sha256").first()
+    if own is not None:
+        return own[0] if sizes.filter(F.col("sha256") == own[0]).take(1) else None
+    if not path_or_group.startswith("sha256:"):
+        raise FileNotFoundError(f"not in the index: {path_or_group}")
+    prefix = path_or_group.split(":", 1)[1].strip().casefold()
+    if not prefix:
+        raise ValueError("a duplicate group needs an id")
+    found = [r[0] for r in sizes.filter(F.col("sha256").startswith(prefix)).orderBy("sha256").limit(10).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'several groups' if found else 'no group'} of {path_or_group}: {', '.join('sha256:' + x[:12] for x in found)}")
+    return found[0]
+
+
+def inspect_duplicates(path_or_group: str, files: DataFrame, members: DataFrame, docs: DataFrame, stored: DataFrame | None = None, limit: int = 5) -> DataFrame:
+    """kind, path, score, reasons: the copies of a note or of a group (canonical and exact), and the notes most like it
+    (similar), each copy standing for its canonical one with the best score of its copies. Errors are raised for what
+    is not in the index, or names no group or several."""
+    sha = group_of(files, path_or_group)
+    group = members.filter(F.col("sha256") == F.lit(sha))
+    best = canonical(group).first()
+    seed = best["canonical_path"] if best else path_or_group
+    part = lambda c: F.when(F.col(c) != "", F.col(c))
+    text = F.concat(F.when(F.col("title") != "", F.concat(F.lit("# "), "title", F.lit("\n\n"))).otherwise(""), F.concat_ws("\n", *map(part, ("headings", "tags", "tasks", "body"))))
+    draft = docs.filter(F.col("path") == seed).select(F.lit(0).alias("draft_id"), text.alias("content"))
+    like = top(find_duplicates(draft, docs, stored=stored), "draft_id", max(3 * limit, 10)).select("path", "score")
+    placed = like.join(canonical_map(members), "path", "left").withColumn("to", F.coalesce("canonical_path", "path"))
+    outside = placed.filter(F.col("to") != seed).join(group.select(F.col("path").alias("to")), "to", "left_anti")
+    reason = F.when(F.col("to") != F.col("path"), F.concat(F.lit("exact duplicate canonicalized from "), "path"))
+    merged = outside.groupBy("to").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set(reason)), "\n").alias("reasons"))
+    similar = merged.orderBy(F.desc("score"), "to").limit(limit).select(F.lit("similar").alias("kind"), F.col("to").alias("path"), F.col("score").cast("long").alias("score"), "reasons")
+    kind = F.when(F.col("path") == seed, "canonical").otherwise("exact").alias("kind")
+    copies = group.select(kind, "path", F.lit(None).cast("long").alias("score"), F.lit("").alias("reasons"))
+    return copies.unionByName(similar)
+
+
 def semantic_terms(text: Column) -> Column:
     words = F.transform(T.tokens(F.regexp_replace(text, rf"(?i)(?:https?://|www\.)[^{T.SPACE}]+", " ")), T.fold)
     kept = F.filter(words, lambda t: (F.length(t) > 2) & t.rlike(r"\p{L}"))
@@ -142,16 +187,24 @@ def cosines(terms: DataFrame, limit_ratio: float = FREQUENT_RATIO) -> DataFrame:
     return joined.select("path_a", "path_b", "shared", "size_a", "size_b", (F.col("dot") / F.sqrt(F.col("na") * F.col("nb"))).alias("cosine"))
 
 
-def close_pairs(terms: DataFrame, least: float = MIN_COSINE, limit_ratio: float = FREQUENT_RATIO) -> DataFrame:
+def informative(terms: DataFrame, total: DataFrame) -> DataFrame:
+    """path, term, idf of exploded (path, term) rows, without terms of more than a share of the notes; total is one row with n."""
+    limit = F.greatest(F.lit(FREQUENT_LEAST), F.ceil(F.col("n") * FREQUENT_RATIO))
+    weights = term_idf(terms, total).join(F.broadcast(total), F.lit(True)).filter(F.col("df") <= limit).select("term", "idf")
+    return terms.join(weights, "term")
+
+
+def close_pairs(terms: DataFrame, least: float = MIN_COSINE, total: DataFrame | None = None) -> DataFrame:
     """The rows of cosines() of at least that cosine (rounded to 9 places), for notes of many terms. Terms have one
     order, the rarest first. The first term that two notes share begins all they share, so their cosine is at most
-    the share of either's norm from that term on: only terms from which on enough is left meet in the join."""
-    total = terms.select("path").distinct().agg(F.count(F.lit(1)).alias("n"))
-    weights = term_idf(terms, total).join(F.broadcast(total), F.lit(True)).filter(F.col("df") <= F.greatest(F.lit(FREQUENT_LEAST), F.ceil(F.col("n") * limit_ratio))).select("term", "idf")
+    the share of either's norm from that term on: only terms from which on enough is left meet in the join. total:
+    one row with n, the number of notes, where some may have no term."""
+    if total is None:
+        total = terms.select("path").distinct().agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("path")
     square = F.col("idf") * F.col("idf")
     rest = F.sum(square).over(own.orderBy(F.desc("idf"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    kept = terms.join(weights, "term").withColumn("rest", rest).withColumn("norm", F.sum(square).over(own))
+    kept = informative(terms, total).withColumn("rest", rest).withColumn("norm", F.sum(square).over(own))
     meet = kept.filter(F.col("rest") >= F.col("norm") * (least * least - 1e-6)).select("term", "path")
     a, b = (meet.select("term", F.col("path").alias("path_" + x)) for x in "ab")
     pairs = a.join(b, "term").filter("path_a < path_b").select("path_a", "path_b").distinct()

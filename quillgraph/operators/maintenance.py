@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillgraph.operators.roles import REQUIRED_ROOTS, dir_source_counts, path_role
+
+#: Fixed values.
+TOOLING = ("__pycache__", "node_modules", ".venv", "venv", ".git", ".hg", ".svn")
 
 
 def scan_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -26,8 +32,6 @@ def drift(current: DataFrame, indexed: DataFrame, examples: int = 10) -> DataFra
     """change, n, examples (first paths): added, deleted and changed files against the index."""
     delta = scan_delta(current, indexed).select(F.when(F.col("change") == "new", "added").otherwise(F.col("change")).alias("change"), "path")
     counted = delta.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("change").orderBy("path")
     first = delta.filter("change <> 'unchanged'").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= examples).groupBy("change").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("examples"))
     return counted.join(first, "change", "left").select("change", "n", F.coalesce("examples", F.lit("")).alias("examples"))
@@ -57,3 +61,21 @@ def report(*rules: DataFrame) -> DataFrame:
 
 def finding(df: DataFrame, kind: str, severity: str, path: str, summary: Column) -> DataFrame:
     return df.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.col(path).alias("path"), summary.alias("summary"))
+
+
+def empty_directories(directories: DataFrame, sources: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """type, severity, path, summary of directories (path, children) with nothing in them and no source file (path)
+    below. Excluded ones, required roots, and those in or below hidden or tooling directories are left out."""
+    bare = F.trim(F.trim(F.col("path")), F.lit("/"))
+    keyed = directories.filter((F.col("children") == 0) & (bare != "")).select(F.concat(bare, F.lit("/")).alias("path"))
+    tooling = F.exists(F.split("path", "/"), lambda x: x.startswith(".") | x.isin(*TOOLING))
+    wanted = keyed.filter(~tooling & ~F.col("path").isin(*REQUIRED_ROOTS)).distinct()
+    for pattern in exclude:
+        if pattern.strip("/"):
+            wanted = wanted.filter(~F.col("path").startswith(pattern.strip("/") + "/"))
+    left = wanted.join(dir_source_counts(sources).select(F.col("dir").alias("path")), "path", "left_anti")
+    role = path_role(F.col("path"))
+    placed = role.isin("area", "project", "resource")
+    severity = F.when(placed, "medium").otherwise("low").alias("severity")
+    summary = F.when(placed, F.concat(F.lit("Empty "), role, F.lit(" directory"))).otherwise("Empty unclassified directory")
+    return left.select(F.lit("empty_directory").alias("type"), severity, "path", summary.alias("summary"))

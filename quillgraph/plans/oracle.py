@@ -151,6 +151,9 @@ ORACLE_SQL: dict[str, str] = {
         "shortest_links": "SELECT path, CASE WHEN count(*) OVER (PARTITION BY replace(lower(stem), 'ß', 'ss')) = 1 THEN '[[' || stem || ']]' ELSE '[[' || path[:-4] || ']]' END AS link FROM paths",
         "exact_dup_groups": "SELECT 'sha256:' || substr(g.sha256, 1, 12) AS group_id, g.n, array_to_string(g.members, chr(10)) AS paths, e.path AS canonical_path FROM groups g JOIN elected e ON g.sha256 = e.sha256 AND e.place = 1",
         "exact_dup_paths": "SELECT f.path, array_to_string(g.members, chr(10)) AS paths FROM fileset f JOIN groups g ON f.sha256 = g.sha256",
+        "dup_examples": "SELECT sha256, n, array_to_string(members, chr(10)) AS paths FROM groups ORDER BY n DESC, sha256 LIMIT 10",
+        "empty_directories": "SELECT 'empty_directory' AS type, CASE WHEN top IN ('Areas', 'Projects', 'Resources') THEN 'medium' ELSE 'low' END AS severity, path, CASE top WHEN 'Areas' THEN 'Empty area directory' WHEN 'Projects' THEN 'Empty project directory' WHEN 'Resources' THEN 'Empty resource directory' ELSE 'Empty unclassified directory' END AS summary "
+        "FROM (SELECT path, split_part(path, '/', 1) AS top FROM (SELECT parent || '/' AS path FROM paths GROUP BY 1 HAVING count(*) FILTER (WHERE doc_id % 5 <> 0) = 0 UNION SELECT unnest(['Areas/none/', 'Misc/old/', 'Projects/P1/none/']))) WHERE path NOT IN ('Inbox/', 'Projects/', 'Areas/', 'Resources/', 'Archive/')",
         "dup_group_count": "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS files FROM groups",
         "canonical_paths": "SELECT p.path, coalesce(c.canonical_path, p.path) AS canonical_path FROM paths p LEFT JOIN canon c ON p.path = c.path",
         "canonical_reasons": "SELECT w.path AS canonical_path, coalesce(nullif(concat_ws(chr(10), CASE WHEN w.not_inbox = 1 AND min(o.not_inbox) = 0 THEN 'preferred over inbox paths' END, CASE WHEN w.conn > max(o.conn) THEN 'most connected duplicate (' || w.back_links || ' backlinks, ' || w.out_links || ' outgoing links)' END, CASE WHEN w.mtime > max(o.mtime) THEN 'newest duplicate copy' END, CASE WHEN w.rank > max(o.rank) THEN 'stronger vault role (' || coalesce(w.role, 'unclassified') || ')' END, CASE WHEN (w.short, w.path) > max((o.short, o.path)) THEN 'shorter, more stable path tie-break' END), ''), 'stable lexical tie-break on path') AS reasons FROM elected w JOIN elected o ON w.sha256 = o.sha256 AND o.place > 1 WHERE w.place = 1 GROUP BY w.path, w.sha256, w.not_inbox, w.conn, w.back_links, w.out_links, w.mtime, w.rank, w.role, w.short",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
 from quillgraph.operators import duplicates as D
-from quillgraph.operators import facts, links, maintenance, related, roles, routing, search, structure
+from quillgraph.operators import facts, links, maintenance, related, roles, routing, search, semantic, structure
 from quillgraph.plans.corpus import notes
 from quillgraph.plans.index import VaultIndex
 from quillgraph.plans.store import VaultStore, shared_folder, stored_notes
@@ -200,6 +200,19 @@ def exact_dup_paths(ix, n):
     return ix.files.join(several, "sha256").select("path", F.array_join("paths", "\n").alias("paths"))
 
 
+@query
+def dup_examples(ix, n):
+    """The ten largest groups of equal notes."""
+    return D.group_examples(ix.files).select("sha256", "n", F.array_join("paths", "\n").alias("paths"))
+
+
+@query
+def inspect_duplicates(ix, n):
+    """The largest group of equal notes, and the notes most like it."""
+    group = D.group_examples(ix.files, 1).first()
+    return D.inspect_duplicates(f"sha256:{group['sha256']}" if group else n.select(F.min("path")).first()[0], ix.files, ix.members, ix.docs, ix.terms)
+
+
 @query
 def dup_group_count(ix, n):
     return D.exact_groups(ix.files).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
@@ -342,6 +355,13 @@ def semantic_candidates_body(ix, n):
     return apart.select("path_a", "path_b", F.bround(F.round(F.col("cosine") * 100, 6)).cast("int").alias("score"))
 
 
+@query
+def semantic_duplicates(ix, n):
+    """Findings of notes that may say the same, over all of their text."""
+    rows = semantic.compared(ix.docs, ix.note_roles, ix.files)
+    return semantic.findings(semantic.chosen(semantic.scored_candidates(rows), shared_folder(n.sparkSession)))
+
+
 @query
 def name_similarity(ix, n):
     """Same-folder notes whose names are alike, blocked by folder and a shared word of the name."""
@@ -445,6 +465,19 @@ def dir_source_counts(ix, n):
     return roles.dir_source_counts(n.select("path"))
 
 
+def folders(n: DataFrame) -> DataFrame:
+    """path, children: the folders of an earlier scan and how many notes are there now, and some that are no notes' folders."""
+    folder = F.concat(T.parent(F.col("path")), F.lit("/"))
+    there = n.groupBy(folder.alias("path")).agg(F.count_if(F.col("doc_id") % 5 != 0).cast("int").alias("children"))
+    other = [("Areas/none/", 0), ("Misc/old", 0), ("Misc/full/", 2), ("Resources/", 0), ("Projects/.git/", 0), ("venv/lib/", 0), ("Projects/P1/none/", 0), ("Skipped/x/", 0)]
+    return there.unionByName(n.sparkSession.createDataFrame(other, "path string, children int"))
+
+
+@query
+def empty_directories(ix, n):
+    return maintenance.empty_directories(folders(n), n.filter("doc_id % 5 <> 0").select("path"), ("Skipped/",))
+
+
 def findings(ix: VaultIndex) -> DataFrame:
     groups = D.canonical(ix.members)
     bad = ix.links.select("path", "target", "status")

@@ -48,3 +48,19 @@ def note_text(content):
 def notes(listed: DataFrame) -> DataFrame:
     """path, text, mtime of Markdown files."""
     return listed.filter("is_markdown").select("path", note_text(F.col("content")).alias("text"), "mtime")
+
+
+def directories(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), children: every directory below the root and how many entries it has, hidden ones too. The
+    driver lists them, as it does for a read."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, left = [], [("", top)]
+    while left:
+        name, path = left.pop()
+        entries = fs.listStatus(path)
+        if name:
+            found.append((name, len(entries)))
+        left += [(f"{name}{e.getPath().getName()}/", e.getPath()) for e in entries if e.isDirectory()]
+    return spark.createDataFrame(found, "path string, children int")
