@@ -38,6 +38,8 @@ ANCHORS = 64
 GATES = 32
 BUCKETS = 25
 STOP = 256
+#: Words or letters whose decisions are in memory at once; what is learned of a block does not depend on it but for rounding.
+OWNERS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -146,8 +148,19 @@ def _find(tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(tokens[at] == h, at, -1)
 
 
-def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Decisions]:
-    """The word decisions and the letter decisions of a block."""
+def _parts(code: Code, symbol: np.ndarray, document: np.ndarray, gate: np.ndarray | None, contexts: list[np.ndarray]) -> Iterator[Decisions]:
+    """The decisions of symbols, some symbols at a time. Without a gate it is the depth in the code."""
+    for a in range(0, len(symbol), OWNERS):
+        z = slice(a, a + OWNERS)
+        size, first = code.length[symbol[z]], code.first[symbol[z]]
+        own = np.repeat(np.arange(len(size)), size)
+        entry = concat_ranges(first, size)
+        depth = np.minimum(entry - first[own], GATES - 1) if gate is None else gate[z][own]
+        yield Decisions(document[z][own], code.bit[entry], depth, own, code.node[entry], [np.ascontiguousarray(c[z]) for c in contexts])
+
+
+def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Iterator[Decisions]]:
+    """The word decisions and the letter decisions of a block, each in parts."""
     n_docs = len(w.counts)
     escape = len(model.words.length) - 1
     symbol = np.where(place >= 0, model.symbol[place] if len(model.symbol) else -1, -1)
@@ -167,14 +180,8 @@ def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Decisions]:
     seen[1:] = np.maximum.accumulate(np.where(symbol < ANCHORS, np.arange(1, len(w.hash) + 1), 0))
     at = seen[where]
     anchor = np.where(at > begin, symbol[np.maximum(at - 1, 0)] + 1 if len(symbol) else 0, 0).astype(np.uint64)
-    code = model.words
-    size = code.length[all_symbols]
-    own = np.repeat(np.arange(len(all_symbols)), size)
-    entry = concat_ranges(code.first[all_symbols], size)
-    node = code.node[entry]
-    depth = entry - code.first[all_symbols][own]
     contexts = [np.full(len(all_symbols), 11, np.uint64), _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2), _hash(previous, 3), _hash(word, 8)]
-    words = Decisions(doc[own], code.bit[entry], np.minimum(depth, GATES - 1), own, node, contexts)
+    words = _parts(model.words, all_symbols, doc, None, contexts)
     # Letters of rare words, each with a stop.
     length = w.end[rare] - w.start[rare]
     letter_word = np.repeat(np.arange(len(rare)), length + 1)
@@ -186,13 +193,8 @@ def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Decisions]:
     for k in range(1, 6):
         back = back << np.uint64(9) | np.where(position >= k, w.data[np.maximum(at - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
         orders.append(back)
-    code = model.letters
-    size = code.length[letter]
-    own = np.repeat(np.arange(len(letter)), size)
-    entry = concat_ranges(code.first[letter], size)
-    node = code.node[entry]
     contexts = [_hash(orders[0], anchor[rare][letter_word], 4), _hash(orders[1], anchor[rare][letter_word], np.minimum(position, 15), 5), _hash(orders[2], 6), _hash(orders[3], 9), _hash(orders[4], 7)]
-    letters = Decisions(w.document()[rare][letter_word][own], code.bit[entry], np.minimum(position, GATES - 1)[own], own, node, contexts)
+    letters = _parts(model.letters, letter, w.document()[rare][letter_word], np.minimum(position, GATES - 1), contexts)
     return [words, letters]
 
 
@@ -266,27 +268,33 @@ class _Learner:
     def learn(self, block) -> None:
         m, rule = self.m, self.rule
         w = block.words(NOT_SPACE)
-        for stream, d in enumerate(_decisions(w, _find(m.tokens, w.hash), m)):
-            if not len(d.bit):
-                continue
-            inputs = []
-            for i, s in enumerate(d.slots(rule.slot_bits)):
-                inputs.append(self.odds[i].take(s))
-                self.counts[i].reshape(-1)[:] += np.bincount(s * 2 + d.bit, minlength=2 * self.slots)  # odds stay until the block ends
+        steep = self.turn % 8 == 0  # the curvature changes slowly
+        for stream, parts in enumerate(_decisions(w, _find(m.tokens, w.hash), m)):
+            # Sums over the block: weights and odds stay until it ends.
             weights, bent = self.weights[stream], self.bent[stream]
-            z = _mixed(inputs, weights, d.gate)
-            p = 1 / (1 + np.exp(-z))
-            error = d.bit - p
-            number = np.bincount(d.gate, minlength=GATES)
-            for i, s in enumerate([*inputs, None]):
-                g = np.bincount(d.gate, error if s is None else error * s, GATES)
-                if self.turn % 8 == 0:  # the curvature changes slowly
-                    curve = p * (1 - p)
-                    bent[:, i] = np.bincount(d.gate, curve if s is None else curve * s * s, GATES) / np.maximum(number, 1)
-                weights[:, i] += (rule.rate * g / (bent[:, i] * number + 50.0)).clip(-0.2, 0.2)
+            number = np.zeros(GATES, np.int64)
+            slope, curved = np.zeros((2, GATES, CONTEXTS + 1))
+            for d in parts:
+                inputs, one = [], np.ones(len(d.bit), np.int32)  # of the counts' own type, without which add.at is slow
+                for i, s in enumerate(d.slots(rule.slot_bits)):
+                    inputs.append(self.odds[i].take(s))
+                    np.add.at(self.counts[i].reshape(-1), s * 2 + d.bit, one)
+                z = _mixed(inputs, weights, d.gate)
+                p = 1 / (1 + np.exp(-z))
+                error, curve = d.bit - p, p * (1 - p)
+                number += np.bincount(d.gate, minlength=GATES)
+                for i, s in enumerate([*inputs, None]):
+                    slope[:, i] += np.bincount(d.gate, error if s is None else error * s, GATES)
+                    if steep:
+                        curved[:, i] += np.bincount(d.gate, curve if s is None else curve * s * s, GATES)
+                cell = _cell(z, d.gate)
+                self.found[:, stream] += np.bincount(cell * 2 + d.bit, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
+            if not number.any():
+                continue
+            if steep:
+                bent[:] = curved / np.maximum(number, 1)[:, None]
+            weights += (rule.rate * slope / (bent * number[:, None] + 50.0)).clip(-0.2, 0.2)
             self.seen[stream] += number
-            cell = _cell(z, d.gate)
-            self.found[:, stream] += np.bincount(cell * 2 + d.bit, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
         prior = np.float32(rule.prior)
         for i in range(CONTEXTS):
             pair = self.counts[i].astype(np.float32) + prior
@@ -407,7 +415,7 @@ def fit(texts: DataFrame, rule: Mixing = Mixing()) -> tuple[Model, DataFrame]:
     sent = spark.sparkContext.broadcast(told)
     shards = max(1, -(-int(letters[:STOP].sum()) // rule.shard_bytes))
     dealt = texts.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), "text", F.xxhash64("text", "id").alias("turn"), "id")
-    ordered = dealt.repartition(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", "turn", "id").select("shard", "text")
+    ordered = dealt.repartitionById(min(shards, 1 << 15), "shard").sortWithinPartitions("shard", "turn", "id").select("shard", "text")
     rows = ordered.mapInArrow(_learn(sent, rule), _PART).repartition("part", "row").mapInArrow(_add(rule.prior), _PART).toArrow()  # as large as the tables
     slots, step = 1 << rule.slot_bits, min(rule.row_slots, 1 << rule.slot_bits)
     model.tables = np.zeros((CONTEXTS, slots), np.float32)
@@ -459,13 +467,12 @@ def _score(model, rule: Mixing):
                 base = np.bincount(doc[settled], np.log10(count[settled] + 0.5) - scale, n_docs) + np.log10(m.ends + 0.5) - scale
                 n_known = np.bincount(doc[known], minlength=n_docs) + (m.ends > 0)
                 score = np.zeros(n_docs)
-                for stream, d in enumerate(_decisions(w, place, m)):
-                    if not len(d.bit):
-                        continue
-                    z = _mixed([m.tables[i].take(s) for i, s in enumerate(d.slots(rule.slot_bits))], m.weights[stream], d.gate)
-                    z = np.float32(0.5) * (z + m.refined[stream].reshape(-1).take(_cell(z, d.gate)))
-                    np.negative(z, out=z, where=d.bit)
-                    score -= np.bincount(d.document, np.log(1 + np.exp(z)), n_docs) / np.log(10)
+                for stream, parts in enumerate(_decisions(w, place, m)):
+                    for d in parts:
+                        z = _mixed([m.tables[i].take(s) for i, s in enumerate(d.slots(rule.slot_bits))], m.weights[stream], d.gate)
+                        z = np.float32(0.5) * (z + m.refined[stream].reshape(-1).take(_cell(z, d.gate)))
+                        np.negative(z, out=z, where=d.bit)
+                        score -= np.bincount(d.document, np.log(1 + np.exp(z)), n_docs) / np.log(10)
                 take = pa.array(block.rows)
                 n_bytes = pa.array((np.diff(block.bounds) - 1).astype(np.int64))
                 yield rows(0, n_docs, rid=rid.take(take), doc_id=batch.column(1).take(take), held_out=batch.column(2).take(take), n_tokens=w.counts + 1, n_known=n_known, n_bytes=n_bytes, base=base, score=score)
