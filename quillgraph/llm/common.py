@@ -70,7 +70,8 @@ def scratch() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        stack.remove(made)
+        # By identity: lists of equal paths, as of two scopes that are still empty, are different scopes.
+        del stack[next(i for i, x in enumerate(stack) if x is made)]
 
 
 def materialize(df: DataFrame, name: str, by: list[str] | None = None, keep: bool = False) -> DataFrame:

@@ -103,3 +103,26 @@ def test_packing_stage(spark):
         assert x["start"] == got.get(x["doc_id"], 0)
         got[x["doc_id"]] = x["start"] + x["length"]
     assert got == want
+
+
+def test_run(spark, tmp_path):
+    """The whole pipeline gives what its stages give one after another, and scopes of paths end as they began."""
+    from quillgraph.llm.common import scratch
+
+    with scratch() as outer:
+        with scratch():
+            pass
+        with scratch() as inner:
+            inner.append("b")
+        outer.append("a")
+    assert outer == ["a"]
+    rows = corpus()
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", rows[1][1]), ("b", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), SCHEMA if name != "best_fit_packing" else None)
+    want = sorted_rows(docs)
+    assert len(want) > 5
+    for _ in range(2):
+        assert sorted_rows(pipeline.run(spark, str(tmp_path))) == want
