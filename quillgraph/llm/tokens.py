@@ -9,8 +9,9 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Texts that are encoded at once, at most so many characters besides the last one.
-ENCODE_CHARS = 1 << 20
+from quillgraph.llm.kernels import Block, blocks, concat_ranges
 
 
 @dataclass(frozen=True)
@@ -66,15 +66,88 @@ class Recent(dict):
             self.clear()
 
 
+#: Bytes of a word and ids of it that the table of words has room for.
+WORD_BYTES, WORD_IDS = 24, 8
+#: Words that are looked up at once.
+LOOKUPS = 1 << 14
+_ID = attrgetter("id")
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class WordTable:
+    """Ids by word in flat arrays: 33 bytes a word, and WORD_IDS ids unless only their numbers are kept. A word is found
+    by its whole bytes in one of two places that its hash names; a new one takes an empty place of these, or one
+    word's place. There are 4 to 8 places for each of `most`, as the words that come once fill them as well. Ids of
+    words that are not in the table (yet) are appended to the same array for as long as they are read."""
+
+    def __init__(self, most: int, kind: type | None):
+        self.bits = max(4, (4 * most).bit_length())
+        size = 1 << self.bits
+        self.keys = np.zeros((size, 4), np.uint64)  # the bytes, and length and kind; 0 there: an empty place
+        self.n = np.zeros(size, np.int8)
+        self.own = 0 if kind is None else size * WORD_IDS
+        self.ids = np.zeros(self.own + (1 << 16), kind or np.int32)
+        self.turn = 0
+
+    def find(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and places of words, and which of them are missing. WORD_BYTES bytes must follow the last word in data."""
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        key = np.empty((len(start), 4), np.uint64)
+        for k in range(3):
+            key[:, k] = eight[start + 8 * k] & _MASK[np.clip(length - 8 * k, 0, 8)]
+        key[:, 3] = length * 4 + kind + 1
+        h = key[:, 3] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(3):
+            h += key[:, k]
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9FB21C651E98DF25)
+        place = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.flatnonzero(~self._holds(place, key))
+        other = place[left] ^ 1
+        there = self._holds(other, key[left])
+        place[left[there]] = other[there]
+        missing = np.zeros(len(start), bool)
+        missing[left[~there]] = True
+        missing |= length > WORD_BYTES
+        return key, place, np.flatnonzero(missing)
+
+    def _holds(self, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+        row = self.keys.take(place, 0)
+        same = row[:, 3] == key[:, 3]
+        for k in range(3):
+            same &= row[:, k] == key[:, k]
+        return same
+
+    def append(self, ids: np.ndarray) -> int:
+        """Where they begin in self.ids."""
+        if self.own + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.own], np.zeros(2 * len(ids), self.ids.dtype)])
+        self.ids[self.own : self.own + len(ids)] = ids
+        return self.own
+
+    def put(self, key: np.ndarray, place: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Words of at most WORD_BYTES and WORD_IDS, their ids from at on; n is -1 for one without."""
+        self.turn ^= 1
+        full = self.keys[place, 3] > 0
+        place = np.where(full & ((self.keys[place ^ 1, 3] == 0) | (self.turn == 1)), place ^ 1, place)
+        place, first = np.unique(place, return_index=True)
+        self.keys[place], self.n[place] = key[first], n[first]
+        if self.own:
+            size = np.maximum(n[first], 0)
+            self.ids[concat_ranges(place * WORD_IDS, size)] = self.ids[concat_ranges(at[first], size)]
+
+
 class Encoder:
     """Ids of whole texts, as the library's defaults give them (so a special token's string is that token), as
-    little-endian 32-bit integers. No special token's string may hold white space, as texts are cut there.
+    little-endian 32-bit integers; only their numbers unless ids is True. No special token's string may hold white
+    space, as texts are cut there.
 
-    Words, with or without a space before them, are encoded by the tokenizer once and kept for a while.
+    Words, with a space or a line feed before them or nothing, are encoded by the tokenizer once and kept for a while.
     Texts with other white space than single spaces and line feeds are cut at the spaces that are safe.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 450_000):
+    def __init__(self, tokenizer_path: str, most: int = 450_000, ids: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -89,17 +162,24 @@ class Encoder:
         self.form = {c: form.pre_tokenize_str(chr(c))[0][0] for c in [0x20, *range(0x41, 0x250)] if chr(c).isalpha() or c == 0x20}
         self.space = self.form[0x20]
         self.marks = {"": b""}
-        #: By word: the ids after a space and at the start of a line; None where its ends aren't safe.
-        self.later = Recent(most, lambda w: self._word(w, " "))
-        self.first = Recent(most // 4, lambda w: self._word(w, ""))
-        self.stems = Recent(most, self._stem)
-        self.other = Recent(most // 16, self._any)
+        top = max(self.tokenizer.get_vocab().values(), default=0)
+        self.ids = ids
+        self.table = WordTable(most, (np.uint16 if top < 1 << 16 else np.int32) if ids else None)
+        #: By word, its bytes: the ids after a space, after a line feed (and of that) and at the start of a text; None where
+        #: its ends aren't safe. These hold what the table has no room for, and what is new to it.
+        self.kinds = [Recent(most // 32, make) for make in (lambda w: self._word(w.decode(), " "), self._after_line, lambda w: self._word(w.decode(), ""))]
+        self.stems = Recent(most // 8, self._stem)
+        self.other = Recent(most // 32, self._any)
 
     def _any(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def _stem(self, s: str) -> bytes:
-        return array("i", [x.id for x in self.tokenize(s)]).tobytes()
+        return array("i", map(_ID, self.tokenize(s))).tobytes()
+
+    def _after_line(self, w: bytes) -> bytes | None:
+        ids = self._word(w.decode(), "")
+        return None if ids is None else self.line + ids
 
     def _word(self, w: str, before: str) -> bytes | None:
         if m := _SIMPLE.fullmatch(w):
@@ -115,65 +195,91 @@ class Encoder:
             return self.stems[stem] + self.marks[mark]
         return self._any(before + w) if w and not _ODD.search(w) else None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For texts of a few MB together."""
-        for kept in (self.first, self.later, self.stems, self.other):
-            kept.turn()
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of a block's texts, and all their ids one after another (none if they aren't asked for)."""
         collecting = gc.isenabled()
         gc.disable()  # the lists of words below make no cycles
         try:
-            return self._encode(texts)
+            return self._encode(block)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        first, later, other = self.first.__getitem__, self.later.__getitem__, self.other.__getitem__
-        out = []
-        for text in texts:
-            try:
-                out.append(self.line.join([first(x[0]) + b"".join(map(later, x[1:])) for x in (line.split(" ") for line in text.split("\n"))]))
-            except TypeError:  # a word whose ends aren't safe
-                out.append(b"".join(map(other, _CUT.split(text))))
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
+    def _encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        data = np.concatenate([block.data, np.zeros(WORD_BYTES + 8, np.uint8)])
+        raw = block.data.tobytes()
+        end = np.flatnonzero((block.data == 0x20) | (block.data == 0x0A))  # of each word; a space follows each text
+        start = np.concatenate([[0], end[:-1] + 1])
+        bounds = np.searchsorted(start, block.bounds)
+        length = end - start
+        kind = (block.data[start - 1] == 0x0A).astype(np.int64)
+        kind[bounds[:-1]] = 2
+        text = np.repeat(np.arange(len(block.rows)), np.diff(bounds))
+        odd = np.zeros(len(block.rows), bool)
+        odd[text[length == 0]] = True
+        n = np.zeros(len(start), np.int64)
+        words = np.flatnonzero(~odd[text])
+        found = [np.zeros(0, np.int32)]
+        for a in range(0, len(words), LOOKUPS):
+            part = words[a : a + LOOKUPS]
+            n[part], some = self._look(data, raw, start[part], length[part], kind[part])
+            found.append(some)
+        odd[text[n < 0]] = True
+        sums = np.concatenate([[0], np.cumsum(np.maximum(n, 0))])[bounds]
+        sizes = np.diff(sums)
+        flat = np.concatenate(found)
+        if odd.any():
+            pieces, begin = [], 0
+            for i in np.flatnonzero(odd).tolist():
+                own = b"".join(map(self.other.__getitem__, _CUT.split(raw[block.bounds[i] : block.bounds[i + 1] - 1].decode())))
+                if self.ids:
+                    pieces += [flat[sums[begin] : sums[i]], np.frombuffer(own, "<i4")]
+                sizes[i], begin = len(own) // 4, i + 1
+            flat = np.concatenate([*pieces, flat[sums[begin] :]]) if self.ids else flat
+        return sizes, flat
+
+    def _look(self, data: np.ndarray, raw: bytes, start: np.ndarray, length: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, -1 if its ends aren't safe, and the ids."""
+        for kept in (*self.kinds, self.stems, self.other):
+            kept.turn()
+        table = self.table
+        key, place, new = table.find(data, start, length, kind)
+        n, at = table.n.take(place).astype(np.int64), place * WORD_IDS
+        begin = start[new]
+        later, line, first = (x.__getitem__ for x in self.kinds)
+        made = [(later if k == 0 else line if k == 1 else first)(raw[s:e]) for s, e, k in zip(begin.tolist(), (begin + length[new]).tolist(), kind[new].tolist())]
+        size = np.fromiter((-1 if x is None else len(x) // 4 for x in made), np.int64, len(made))
+        n[new] = size
+        at[new] = table.append(np.frombuffer(b"".join([x or b"" for x in made]), "<i4")) + np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        some = table.ids[concat_ranges(at, np.maximum(n, 0))].astype(np.int32) if self.ids else table.ids[:0]
+        fits = new[(length[new] <= WORD_BYTES) & (size <= WORD_IDS)]
+        table.put(key[fits], place[fits], at[fits], n[fits])
+        return n, some
 
 
-def encoder(tokenizer_path: str, most: int = 450_000) -> Callable[[list[str]], Iterator[bytes]]:
-    """One encoder for each worker process, which tasks share; most: words that it keeps (some 500 bytes each)."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = Encoder(tokenizer_path, most)
-    held = _encoders[tokenizer_path]
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        first = 0
-        while first < len(texts):
-            last, chars = first, 0
-            while last < len(texts) and chars < ENCODE_CHARS:
-                chars += len(texts[last])
-                last += 1
-            yield from held.encode(texts[first:last])
-            first = last
 
-    return encode
+def encoder(tokenizer_path: str, most: int = 450_000, ids: bool = True) -> Encoder:
+    """One encoder for each worker process, which tasks share; most: words that it keeps (some 200 to 500 bytes each)."""
+    if (tokenizer_path, ids) not in _encoders:
+        _encoders[tokenizer_path, ids] = Encoder(tokenizer_path, most, ids)
+    return _encoders[tokenizer_path, ids]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """doc_id, ids (array of int): each whole text's ids and end_id after them; null is the empty text."""
 
-    end = np.array([end_id], "<i4").tobytes()
-
     def run(batches):
-        ids_of = encoder(tokenizer_path)
+        held = encoder(tokenizer_path)
         for batch in batches:
             # Few documents at a time, so that what is held is a small multiple of the longest text.
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512)
-                found = [ids + end for ids in ids_of([x or "" for x in rows.column(1).to_pylist()])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(found), np.int32))], ["doc_id", "ids"])
+            for block in blocks(batch.column(1)):
+                sizes, ids = held.encode(block)
+                ends = np.cumsum(sizes)
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+                rows = batch.column(0).slice(int(block.rows[0]), len(block.rows))
+                yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(offsets, np.insert(ids, ends, end_id))], ["doc_id", "ids"])
 
     # Nothing but the id and the text leaves the scan, whatever other columns there are.
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -252,11 +358,10 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """doc_id, n_tokens of each row, with the end id; null is the empty text. most: words that a worker keeps."""
 
     def run(batches):
-        ids_of = encoder(tokenizer_path, most)
+        held = encoder(tokenizer_path, most, ids=False)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512)
-                lengths = np.fromiter((len(x) // 4 + 1 for x in ids_of([x or "" for x in rows.column(1).to_pylist()])), np.int64, rows.num_rows)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lengths)], ["doc_id", "n_tokens"])
+            for block in blocks(batch.column(1)):
+                rows = batch.column(0).slice(int(block.rows[0]), len(block.rows))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(held.encode(block)[0] + 1)], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
