@@ -77,11 +77,13 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 class WordTable:
     """Ids by word in flat arrays: 33 bytes a word, and WORD_IDS ids unless only their numbers are kept. A word is found
     by its whole bytes in one of two places that its hash names; a new one takes an empty place of these, or one
-    word's place. There are 4 to 8 places for each of `most`, as the words that come once fill them as well. Ids of
-    words that are not in the table (yet) are appended to the same array for as long as they are read."""
+    word's place. There are as many places as 160 bytes for each of `most` hold, a power of two, as the words that
+    come once fill them as well. Ids of words that are not in the table (yet) are appended to the same array for as
+    long as they are read."""
 
     def __init__(self, most: int, kind: type | None):
-        self.bits = max(4, (4 * most).bit_length())
+        wide = 33 + (0 if kind is None else WORD_IDS * np.dtype(kind).itemsize)
+        self.bits = max(4, (160 * most // wide).bit_length() - 1)
         size = 1 << self.bits
         self.keys = np.zeros((size, 4), np.uint64)  # the bytes, and length and kind; 0 there: an empty place
         self.n = np.zeros(size, np.int8)
@@ -261,7 +263,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(tokenizer_path: str, most: int = 450_000, ids: bool = True) -> Encoder:
-    """One encoder for each worker process, which tasks share; most: words that it keeps (some 200 to 500 bytes each)."""
+    """One encoder for each worker process, which tasks share; most: words that it keeps (some 300 bytes each)."""
     if (tokenizer_path, ids) not in _encoders:
         _encoders[tokenizer_path, ids] = Encoder(tokenizer_path, most, ids)
     return _encoders[tokenizer_path, ids]

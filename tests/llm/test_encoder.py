@@ -51,3 +51,22 @@ def test_memory_for_a_word():
         assert tracemalloc.get_traced_memory()[0] < 20e6
     finally:
         tracemalloc.stop()
+
+
+def test_words_stay_known():
+    """Of 6,500 words through an encoder that keeps 2,600 (dicts in two generations held 5,200 and so none of these), most are
+    not encoded again the second time."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(6500)]
+    rows = pa.array(["x " + " ".join(words[i : i + 10]) for i in range(0, len(words), 10)])
+    held = tokens.Encoder(TOKENIZER, 2600)
+    calls = []
+    plain = held.tokenize
+    held.tokenize = lambda s: calls.append(s) or plain(s)
+    for block in blocks(rows, 5000):
+        held.encode(block)
+    assert len(calls) >= 6500
+    calls.clear()
+    for block in blocks(rows, 5000):
+        held.encode(block)
+    assert len(calls) < 3000
