@@ -22,6 +22,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ BUCKETS = 25
 STOP = 256
 #: Words or letters whose decisions are in memory at once; what is learned of a block does not depend on it but for rounding.
 OWNERS = 1 << 14
+#: Depths whose nodes below one node share a group of slots, 2**LEVELS in a row, so that they are near one another in memory.
+LEVELS = 4
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,11 @@ class Code:
     node: np.ndarray
     bit: np.ndarray
 
+    @cached_property
+    def both(self) -> np.ndarray:
+        """Node * 2 + bit of each decision, as one lookup of few bytes."""
+        return (self.node * 2 + self.bit).astype(np.int32)
+
     @staticmethod
     def of(counts: np.ndarray) -> Code:
         n = len(counts)
@@ -110,26 +118,104 @@ class Model:
     weights: np.ndarray | None = None  # 2 x GATES x (CONTEXTS + 1)
     refined: np.ndarray | None = None  # log odds, 2 x GATES x BUCKETS
 
+    def root(self, bits: int) -> np.ndarray:
+        """Table slots of the words' nodes alone."""
+        return _slots(np.uint64(11), np.arange(len(self.words.length), dtype=np.uint64) * _NODE, bits)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """By the first bits of a hash: the first token whose hash is not below them."""
+        bits = max(1, len(self.tokens).bit_length())
+        return np.searchsorted(self.tokens, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes among the tokens; -1 for none."""
+        last = len(self.tokens) - 1
+        if last < 0:
+            return np.full(len(h), -1)
+        at = np.minimum(self.starts.take((h >> np.uint64(65 - len(self.starts).bit_length())).view(np.int64)), last).astype(np.int64)
+        there = self.tokens.take(at)
+        left = np.flatnonzero((there < h) & (at < last))
+        while len(left):
+            at[left] += 1
+            there[left] = self.tokens.take(at[left])
+            left = left[(there[left] < h[left]) & (at[left] < last)]
+        return np.where(there == h, at, -1)
+
+
+_NODE, _SLOT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+
+
+def _slots(context: np.ndarray | np.uint64, key: np.ndarray, bits: int) -> np.ndarray:
+    """Table slots of the nodes with these keys in a context."""
+    h = context + key
+    h *= _SLOT
+    h >>= np.uint64(64 - bits)
+    return h.view(np.int64)
+
 
 @dataclass
-class Decisions:
-    document: np.ndarray
-    bit: np.ndarray
-    gate: np.ndarray
-    #: Of each decision its owner (a word or letter) and node; of each context the owners' hashes.
-    owner: np.ndarray
-    node: np.ndarray
-    contexts: list[np.ndarray]
+class Part:
+    """Some symbols (words or letters), those with the longest codes first, so that the ones with a decision of a given
+    depth are the first few. own: their places in the block's stream; gate: None if it is the depth; contexts: hashes
+    of each; None if the node is all there is, its slots are then Model.root."""
+
+    code: Code
+    own: np.ndarray
+    first: np.ndarray
+    many: list[int]  # symbols with a decision at each depth
+    gate: np.ndarray | None
+    contexts: list[np.ndarray | None]
+
+    def steps(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """By depth, of each symbol with a decision there: node * 2 + bit, the bit, and the place in the group of slots."""
+        both = [self.code.both.take(self.first[:n] + depth) for depth, n in enumerate(self.many)]
+        bits = [b & 1 for b in both]
+        places: list[np.ndarray] = []
+        for depth, n in enumerate(self.many):
+            if depth % LEVELS == 0:
+                place = np.ones(n, np.int64)
+            else:
+                place = place[:n] * 2
+                place += bits[depth - 1][:n]
+            places.append(place)
+        return both, bits, places
+
+    def read(self, tables: np.ndarray, alone: np.ndarray, bits: int, out: np.ndarray, add=None) -> Iterator[tuple[np.ndarray, np.ndarray, int | np.ndarray]]:
+        """By depth: the bits of the symbols with a decision there, what the contexts' tables hold on it (and ones), and the
+        gate, one for all or each. add(context, slots, bits) is called for each; context -1 is the node alone, slots are then
+        node * 2 + bit."""
+        both, bit, place = self.steps()
+        ends = np.cumsum([0, *self.many]).tolist()
+        keys = []
+        for b in both[::LEVELS]:
+            key = (b >> 1).astype(np.uint64)
+            key *= _NODE
+            keys.append(key)
+        for i, c in enumerate(self.contexts):
+            if c is None:
+                for d, b in enumerate(both):
+                    alone.take(b >> 1, out=out[i, ends[d] : ends[d + 1]], mode="clip")
+                    if add:
+                        add(-1, b.astype(np.int64), bit[d])
+                continue
+            for level, key in enumerate(keys):
+                base = _slots(c[: len(key)], key, bits)
+                depths = range(level * LEVELS, min((level + 1) * LEVELS, len(both)))
+                slots = [base[: len(place[d])] ^ place[d] for d in depths]
+                for d, s in zip(depths, slots):
+                    tables[i].take(s, out=out[i, ends[d] : ends[d + 1]], mode="clip")
+                if add:
+                    for d, s in zip(depths, slots):
+                        add(i, s, bit[d])
+        for d, b in enumerate(bit):
+            yield b, out[:, ends[d] : ends[d + 1]], min(d, GATES - 1) if self.gate is None else self.gate[: len(b)]
+
 
-    def slots(self, bits: int) -> Iterator[np.ndarray]:
-        """Table slots of each context in turn, as all of them together take much memory."""
-        node = self.node.view(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        for c in self.contexts:
-            h = c.take(self.owner)
-            h += node
-            h *= np.uint64(0x9FB21C651E98DF25)
-            h >>= np.uint64(64 - bits)
-            yield h.view(np.int64)
+def _room(held: np.ndarray | None, part: Part) -> np.ndarray:
+    """Ones for the contexts' inputs of a part and a constant, in the array held if it has room."""
+    n = sum(part.many)
+    return held if held is not None and held.shape[1] >= n else np.ones((CONTEXTS + 1, 2 * n), np.float32)
 
 
 def _hash(*parts) -> np.ndarray:
@@ -140,27 +226,19 @@ def _hash(*parts) -> np.ndarray:
     return h
 
 
-def _find(tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of hashes among the sorted tokens; -1 for none."""
-    if not len(tokens):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-    return np.where(tokens[at] == h, at, -1)
-
-
-def _parts(code: Code, symbol: np.ndarray, document: np.ndarray, gate: np.ndarray | None, contexts: list[np.ndarray]) -> Iterator[Decisions]:
+def _parts(code: Code, symbol: np.ndarray, gate: np.ndarray | None, contexts: list[np.ndarray | None]) -> Iterator[Part]:
     """The decisions of symbols, some symbols at a time. Without a gate it is the depth in the code."""
     for a in range(0, len(symbol), OWNERS):
         z = slice(a, a + OWNERS)
-        size, first = code.length[symbol[z]], code.first[symbol[z]]
-        own = np.repeat(np.arange(len(size)), size)
-        entry = concat_ranges(first, size)
-        depth = np.minimum(entry - first[own], GATES - 1) if gate is None else gate[z][own]
-        yield Decisions(document[z][own], code.bit[entry], depth, own, code.node[entry], [np.ascontiguousarray(c[z]) for c in contexts])
+        size = code.length[symbol[z]]
+        own = np.argsort((-size).astype(np.int16), kind="stable")
+        many = len(own) - np.cumsum(np.bincount(size))
+        own += a
+        yield Part(code, own, code.first[symbol[own]], many[:-1].tolist(), None if gate is None else gate[own], [None if c is None else c[own] for c in contexts])
 
 
-def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Iterator[Decisions]]:
-    """The word decisions and the letter decisions of a block, each in parts."""
+def _decisions(w: Words, place: np.ndarray, model: Model) -> list[tuple[np.ndarray, Iterator[Part]]]:
+    """The documents of a block's words and their decisions in parts, then those of its letters."""
     n_docs = len(w.counts)
     escape = len(model.words.length) - 1
     symbol = np.where(place >= 0, model.symbol[place] if len(model.symbol) else -1, -1)
@@ -180,8 +258,8 @@ def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Iterator[Decis
     seen[1:] = np.maximum.accumulate(np.where(symbol < ANCHORS, np.arange(1, len(w.hash) + 1), 0))
     at = seen[where]
     anchor = np.where(at > begin, symbol[np.maximum(at - 1, 0)] + 1 if len(symbol) else 0, 0).astype(np.uint64)
-    contexts = [np.full(len(all_symbols), 11, np.uint64), _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2), _hash(previous, 3), _hash(word, 8)]
-    words = _parts(model.words, all_symbols, doc, None, contexts)
+    contexts = [None, _hash(anchor, 1), _hash(anchor, previous >> np.uint64(8), 2), _hash(previous, 3), _hash(word, 8)]
+    words = doc, _parts(model.words, all_symbols, None, contexts)
     # Letters of rare words, each with a stop.
     length = w.end[rare] - w.start[rare]
     letter_word = np.repeat(np.arange(len(rare)), length + 1)
@@ -194,19 +272,21 @@ def _decisions(w: Words, place: np.ndarray, model: Model) -> list[Iterator[Decis
         back = back << np.uint64(9) | np.where(position >= k, w.data[np.maximum(at - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
         orders.append(back)
     contexts = [_hash(orders[0], anchor[rare][letter_word], 4), _hash(orders[1], anchor[rare][letter_word], np.minimum(position, 15), 5), _hash(orders[2], 6), _hash(orders[3], 9), _hash(orders[4], 7)]
-    letters = _parts(model.letters, letter, w.document()[rare][letter_word], np.minimum(position, GATES - 1), contexts)
+    letters = w.document()[rare][letter_word], _parts(model.letters, letter, np.minimum(position, GATES - 1), contexts)
     return [words, letters]
 
 
-def _mixed(inputs: list[np.ndarray], weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+def _mixed(inputs: np.ndarray, weights: np.ndarray, gate: int | np.ndarray) -> np.ndarray:
     """Log odds."""
-    z = weights[:, CONTEXTS].take(gate)
-    for i, s in enumerate(inputs):
-        z += weights[:, i].take(gate) * s
+    of = (lambda i: weights[gate, i]) if isinstance(gate, int) else (lambda i: weights[:, i].take(gate))
+    z = inputs[0] * of(0)
+    z += of(CONTEXTS)
+    for i in range(1, CONTEXTS):
+        z += inputs[i] * of(i)
     return np.clip(z, -12, 12, out=z)
 
 
-def _cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+def _cell(z: np.ndarray, gate: int | np.ndarray) -> np.ndarray:
     return gate * BUCKETS + (z + np.float32(12.5)).astype(np.int64)
 
 
@@ -264,37 +344,58 @@ class _Learner:
         self.odds = np.zeros((CONTEXTS, self.slots), np.float32)
         self.bent = np.zeros((2, GATES, CONTEXTS + 1))
         self.turn = 0
+        self.root = model.root(rule.slot_bits)
+        self.room: np.ndarray | None = None
+        self.one = np.ones(OWNERS, np.int32)  # of the counts' own type, without which add.at is slow
 
     def learn(self, block) -> None:
         m, rule = self.m, self.rule
         w = block.words(NOT_SPACE)
         steep = self.turn % 8 == 0  # the curvature changes slowly
-        for stream, parts in enumerate(_decisions(w, _find(m.tokens, w.hash), m)):
+        alone, rooted = self.odds[0].take(self.root), np.zeros(2 * len(self.root), np.int32)
+
+        def add(context: int, slots: np.ndarray, bit: np.ndarray) -> None:
+            if context < 0:
+                np.add.at(rooted, slots, self.one[: len(slots)])
+            else:
+                slots *= 2
+                slots += bit
+                np.add.at(self.counts[context].reshape(-1), slots, self.one[: len(slots)])
+
+        for stream, (_, parts) in enumerate(_decisions(w, m.find(w.hash), m)):
             # Sums over the block: weights and odds stay until it ends.
             weights, bent = self.weights[stream], self.bent[stream]
             number = np.zeros(GATES, np.int64)
             slope, curved = np.zeros((2, GATES, CONTEXTS + 1))
-            for d in parts:
-                inputs, one = [], np.ones(len(d.bit), np.int32)  # of the counts' own type, without which add.at is slow
-                for i, s in enumerate(d.slots(rule.slot_bits)):
-                    inputs.append(self.odds[i].take(s))
-                    np.add.at(self.counts[i].reshape(-1), s * 2 + d.bit, one)
-                z = _mixed(inputs, weights, d.gate)
-                p = 1 / (1 + np.exp(-z))
-                error, curve = d.bit - p, p * (1 - p)
-                number += np.bincount(d.gate, minlength=GATES)
-                for i, s in enumerate([*inputs, None]):
-                    slope[:, i] += np.bincount(d.gate, error if s is None else error * s, GATES)
-                    if steep:
-                        curved[:, i] += np.bincount(d.gate, curve if s is None else curve * s * s, GATES)
-                cell = _cell(z, d.gate)
-                self.found[:, stream] += np.bincount(cell * 2 + d.bit, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
+            for part in parts:
+                self.room = _room(self.room, part)
+                for bit, inputs, gate in part.read(self.odds, alone, rule.slot_bits, self.room, add):
+                    n = len(bit)
+                    z = _mixed(inputs, weights, gate)
+                    p = 1 / (1 + np.exp(-z))
+                    error = bit.astype(np.float32) - p
+                    curve = p * (1 - p) if steep else p
+                    cell = _cell(z, 0 if isinstance(gate, int) else gate) * 2 + bit
+                    if isinstance(gate, int):
+                        number[gate] += n
+                        slope[gate] += np.einsum("ij,j->i", inputs, error)
+                        if steep:
+                            curved[gate] += np.einsum("ij,ij,j->i", inputs, inputs, curve)
+                        self.found[:, stream, gate * BUCKETS : (gate + 1) * BUCKETS] += np.bincount(cell, minlength=BUCKETS * 2).reshape(-1, 2).T
+                        continue
+                    number += np.bincount(gate, minlength=GATES)
+                    for i, s in enumerate(inputs):
+                        slope[:, i] += np.bincount(gate, error if i == CONTEXTS else error * s, GATES)
+                        if steep:
+                            curved[:, i] += np.bincount(gate, curve if i == CONTEXTS else curve * s * s, GATES)
+                    self.found[:, stream] += np.bincount(cell, minlength=GATES * BUCKETS * 2).reshape(-1, 2).T
             if not number.any():
                 continue
             if steep:
                 bent[:] = curved / np.maximum(number, 1)[:, None]
             weights += (rule.rate * slope / (bent * number[:, None] + 50.0)).clip(-0.2, 0.2)
             self.seen[stream] += number
+        np.add.at(self.counts[0].reshape(-1), np.repeat(self.root * 2, 2) + np.tile([0, 1], len(self.root)), rooted)
         prior = np.float32(rule.prior)
         for i in range(CONTEXTS):
             pair = self.counts[i].astype(np.float32) + prior
@@ -454,12 +555,13 @@ def _score(model, rule: Mixing):
     def run(batches):
         m: Model = model.value
         scale = np.log10(m.total + 0.5 * (m.distinct + 1)) if m.total else np.log10(0.5)
+        alone, room = m.tables[0].take(m.root(rule.slot_bits)), None
         for batch in batches:
             rid = batch.column(0)
             for block in blocks(batch.column(3)) if batch.num_rows else ():
                 n_docs = len(block.rows)
                 w = block.words(NOT_SPACE)
-                place = _find(m.tokens, w.hash)
+                place = m.find(w.hash)
                 doc = w.document()
                 known = place >= 0
                 count = np.where(known, m.counts[place] if len(m.counts) else 0, 0)
@@ -467,12 +569,21 @@ def _score(model, rule: Mixing):
                 base = np.bincount(doc[settled], np.log10(count[settled] + 0.5) - scale, n_docs) + np.log10(m.ends + 0.5) - scale
                 n_known = np.bincount(doc[known], minlength=n_docs) + (m.ends > 0)
                 score = np.zeros(n_docs)
-                for stream, parts in enumerate(_decisions(w, place, m)):
-                    for d in parts:
-                        z = _mixed([m.tables[i].take(s) for i, s in enumerate(d.slots(rule.slot_bits))], m.weights[stream], d.gate)
-                        z = np.float32(0.5) * (z + m.refined[stream].reshape(-1).take(_cell(z, d.gate)))
-                        np.negative(z, out=z, where=d.bit)
-                        score -= np.bincount(d.document, np.log(1 + np.exp(z)), n_docs) / np.log(10)
+                for stream, (owner, parts) in enumerate(_decisions(w, place, m)):
+                    bits = np.zeros(len(owner))
+                    for part in parts:
+                        lost = np.zeros(len(part.own))
+                        room = _room(room, part)
+                        for bit, inputs, gate in part.read(m.tables, alone, rule.slot_bits, room):
+                            z = _mixed(inputs, m.weights[stream], gate)
+                            if isinstance(gate, int):
+                                z += m.refined[stream, gate].take(_cell(z, 0))
+                            else:
+                                z += m.refined[stream].reshape(-1).take(_cell(z, gate))
+                            z *= np.float32(0.5) - bit.astype(np.float32)  # the sign of a one is turned
+                            lost[: len(bit)] += np.log(1 + np.exp(z))
+                        bits[part.own] = lost
+                    score -= np.bincount(owner, bits, n_docs) / np.log(10)
                 take = pa.array(block.rows)
                 n_bytes = pa.array((np.diff(block.bounds) - 1).astype(np.int64))
                 yield rows(0, n_docs, rid=rid.take(take), doc_id=batch.column(1).take(take), held_out=batch.column(2).take(take), n_tokens=w.counts + 1, n_known=n_known, n_bytes=n_bytes, base=base, score=score)
