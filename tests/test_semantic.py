@@ -40,3 +40,13 @@ def test_body_terms_and_close_pairs(spark):
         got = {(x["path_a"], x["path_b"]): x["cosine"] for x in duplicates.close_pairs(terms, least).select("path_a", "path_b", F.round("cosine", 6).alias("cosine")).collect()}
         assert want and got == want
     assert "semantic_candidates_body" in QUERIES
+
+
+def test_small_notes_meet_no_other(spark):
+    """Notes of too few terms count in the weights, but no pair of theirs is made."""
+    rows = [(f"s{i}", t) for i in range(40) for t in ("alpha", "beta")] + [(f"d{i}", f"w{j}") for i in range(4) for j in range(i, i + 7)] + [(f"x{i}", f"only{i}") for i in range(400)]
+    terms = spark.createDataFrame(rows, "path string, term string")
+    made = duplicates.cosines(terms).collect()
+    want = sorted(tuple(x) for x in made if min(x["size_a"], x["size_b"]) >= 6)
+    assert want and len(made) > 40 * 39 / 2
+    assert sorted(map(tuple, duplicates.cosines(terms, least_size=6).collect())) == want
